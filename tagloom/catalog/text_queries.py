@@ -211,7 +211,7 @@ def _(spark, d):
 
 @query(
     "name_predicates",
-    """SELECT doc_id, regexp_matches(text, '[一-鿿]') AS cjk, regexp_matches(source, '^[A-Za-z0-9\\-_./+# ]+$') AND regexp_matches(source, '[A-Za-z]') AS technical FROM documents""",
+    """SELECT doc_id, regexp_matches(text, '[一-鿿]') AS cjk, length(source) > 3 AND regexp_matches(source, '^[A-Za-z0-9\\-_.\\s]+$') AS technical FROM documents""",
 )
 def _(spark, d):
     docs = T.read_table(spark, d, "documents")

@@ -135,9 +135,10 @@ def contains_cjk(text: Column) -> Column:
     return text.rlike(CJK)
 
 
-def technical_name(text: Column) -> Column:
-    """Identifier-like names: no CJK, letters plus digits or joiner marks only."""
-    return ~contains_cjk(text) & text.rlike(r"^[A-Za-z0-9\-_./+# ]+$") & text.rlike("[A-Za-z]")
+def technical_name(text: Column, allow_space: bool = True) -> Column:
+    """Identifier-like names: longer than three characters, ascii letters, digits and joiner marks only."""
+    extra = r"\s" if allow_space else ""
+    return (F.length(text) > 3) & text.rlike(rf"^[A-Za-z0-9\-_.{extra}]+$")
 
 
 def citations(text: Column) -> Column:
