@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Clamp to [0, 1]; a missing value counts as 0."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
 
 
 def clamp(c: Column, low: float, high: float) -> Column:

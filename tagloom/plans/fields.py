@@ -8,15 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tagloom.operators.ledger import cumulative_domain
 from tagloom.operators.running import top_n
 from tagloom.params import FieldParams, PyramidParams
+from tagloom.plans.panels import PANEL, assign_slots, to_panels
 from tagloom.session import cut_lineage, new_stage_path
 
-PANEL = 16
-
 
 def fuse(
     queries: DataFrame,
@@ -123,22 +121,9 @@ def dual_fields(source: DataFrame, transport: DataFrame, p: FieldParams = FieldP
     steps = steps or max(series_length(p.alpha_local, p), series_length(p.alpha_transfer, p))
     spark = source.sparkSession
     mass = source.filter("source_mass > 0").select("query_id", F.col("tag_id").alias("node"), F.col("source_mass").alias("m"))
-    ids = mass.select("query_id").distinct()
-    panels = max(1, math.ceil(ids.count() * 1.3 / PANEL))
-    place = Window.partitionBy("panel").orderBy("query_id")
-    slots = (
-        ids.withColumn("panel", F.pmod(F.xxhash64("query_id"), F.lit(panels)))
-        .withColumn("r", F.row_number().over(place) - 1)
-        .select("query_id", F.struct("panel", F.floor(F.col("r") / PANEL).alias("sub")).alias("panel"), (F.col("r") % PANEL).alias("slot"))
-    )
-    slots = cut_lineage(slots, "field-slots")
+    slots = assign_slots(mass)
     cols = [f"y{i}" for i in range(PANEL)]
-    y = cut_lineage(
-        mass.join(slots, "query_id").groupBy("panel", "node").agg(
-            *[F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("m"))), F.lit(0.0)).alias(c) for i, c in enumerate(cols)]
-        ),
-        "field-0",
-    )
+    y = cut_lineage(to_panels(mass, slots, "node", "m"), "field-0")
     root = new_stage_path(spark, "field-terms")
     schema = y.schema
     y.write.parquet(f"{root}/step=0")

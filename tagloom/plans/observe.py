@@ -185,9 +185,9 @@ def residual_pyramid(queries: DataFrame, tag_vectors: DataFrame, p: PyramidParam
         "query_id",
         F.coalesce("depth", F.lit(0)).alias("depth"),
         F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
-        F.coalesce(clamp01(0.7 * (1 - F.col("coverage")) + 0.3 * F.col("novelty_signal")), F.lit(1.0)).alias("novelty"),
+        F.when(F.col("depth") > 0, clamp01(0.7 * (1 - F.col("coverage")) + 0.3 * F.col("novelty_signal"))).otherwise(1.0).alias("novelty"),
         F.coalesce("coherence", F.lit(0.0)).alias("coherence"),
-        F.coalesce(clamp01(F.col("coverage") * F.col("coherence") * (1 - F.col("noise"))), F.lit(0.0)).alias("activation"),
+        clamp01(F.col("coverage") * F.col("coherence") * (1 - F.col("noise"))).alias("activation"),
     )
     return levels, features
 
