@@ -1,2 +1,2 @@
-from tagloom.catalog import graph_queries, join_queries, ledger_queries, neighbour_queries, observe_queries, rank_queries, text_queries  # noqa: F401
-from tagloom.catalog.base import QUERIES, SQL  # noqa: F401
+from tagloom.catalog import curve_queries, graph_queries, join_queries, ledger_queries, neighbour_queries, observe_queries, rank_queries, text_queries  # noqa: F401
+from tagloom.catalog.base import QUERIES, sql_texts  # noqa: F401

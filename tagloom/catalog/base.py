@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+_TWINS: dict[str, tuple[str, tuple[str, ...]]] = {}
 _PARTS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
             raise KeyError(name)
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = compose(sql, uses)
+            _TWINS[name] = (sql, uses)
         return fn
 
     return register
@@ -46,3 +46,7 @@ def compose(body: str, uses: tuple[str, ...]) -> str:
         return body.strip()
     ctes = ",\n".join(f"{name} AS MATERIALIZED ({_PARTS[name][1].strip()})" for name in ordered)
     return f"WITH {ctes}\n{body.strip()}"
+
+
+def sql_texts() -> dict[str, str]:
+    return {name: compose(body, uses) for name, (body, uses) in _TWINS.items()}
