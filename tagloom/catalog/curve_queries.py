@@ -53,6 +53,11 @@ def scores(spark, d):
     return staged(spark, d, "curve_scores", build)
 
 
+def curve_ranked(spark, d):
+    trust, _ = D.field_trust(observation(spark, d)[0])
+    return D.curve_rank(scores(spark, d), trust)
+
+
 part(
     "kept_nodes",
     """SELECT query_id, tag_id, normalized, hop, pos FROM (SELECT *, row_number() OVER w AS pos, sum(energy) OVER (PARTITION BY query_id ORDER BY energy DESC, tag_id ROWS UNBOUNDED PRECEDING) - energy AS before, sum(energy) OVER (PARTITION BY query_id) AS tot
@@ -171,5 +176,4 @@ def _(spark, d):
     ("dscore", "obs_nodes"),
 )
 def _(spark, d):
-    trust, _ = D.field_trust(observation(spark, d)[0])
-    return D.curve_rank(scores(spark, d), trust).select("query_id", "chunk_id", "rank", r6(F.col("score"), "score"), "fallback_reason")
+    return curve_ranked(spark, d).select("query_id", "chunk_id", "rank", r6(F.col("score"), "score"), "fallback_reason")

@@ -13,9 +13,9 @@ from tagloom.operators.running import top_n
 from tagloom.sources import tables as T
 
 
-@query("tag_frequency", "SELECT p_partkey AS tag_id, p_name AS name, coalesce(n, 0)::BIGINT AS files FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) ON l_partkey = p_partkey")
+@query("tag_frequency", "SELECT p_partkey AS tag_id, p_name AS name, coalesce(n, 0)::BIGINT AS files FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
 def _(spark, d):
-    edges = T.read_table(spark, d, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("file_id"), F.col("l_partkey").alias("tag_id"))
+    edges = T.read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_partkey").alias("tag_id"))
     return L.tag_frequency(T.tags(spark, d).select("tag_id", "name"), edges)
 
 

@@ -133,6 +133,10 @@ def ranked(spark, d):
     return staged(spark, d, "ranked", build)
 
 
+def matched_names_for(spark, d):
+    return R.matched_names(curve(spark, d), fields(spark, d), T.tags(spark, d))
+
+
 part("nv", "SELECT count(*) AS n FROM embeddings")
 part(
     "source_vec",
@@ -434,7 +438,7 @@ def _(spark, d):
     ("curve",),
 )
 def _(spark, d):
-    return R.matched_names(curve(spark, d), fields(spark, d), T.tags(spark, d))
+    return matched_names_for(spark, d)
 
 
 @query(

@@ -34,3 +34,166 @@ def merge_candidates(
 
 
 __all__ = ["GovernanceParams", "merge_candidates"]
+
+
+def admission(notes: DataFrame, p: GovernanceParams = GovernanceParams()) -> DataFrame:
+    """Adds reject_reason from the ordered rules; null means admitted so far. Notes carry content, title, tags, new_tags, new_tag_reason."""
+    c = F.col
+    long_tag = F.exists("tags", lambda t: F.length(t) > p.max_tag_length)
+    reason = (
+        F.when(F.length(F.trim(F.coalesce("content", F.lit("")))) == 0, "empty-content")
+        .when(F.length(F.trim(F.coalesce("title", F.lit("")))) == 0, "missing-title")
+        .when(F.size("tags") == 0, "missing-tag-line")
+        .when(F.size("tags") > p.max_tags, "too-many-tags")
+        .when(F.size("tags") < p.min_tags, "too-few-tags")
+        .when(long_tag, "tag-too-long")
+        .when((F.size("new_tags") > 0) & (F.length(F.trim(F.coalesce("new_tag_reason", F.lit("")))) == 0), "unconfirmed-new-tags")
+    )
+    return notes.withColumn("reject_reason", reason).select(*notes.columns, c("reject_reason"))
+
+
+def hub_gate(candidate_tags: DataFrame, counts: DataFrame, modes: DataFrame, own: DataFrame | None = None, ratio: float = 1 / 3) -> DataFrame:
+    """(note_id, verdict, tag, files, total): first hub tag a note would add to its bucket.
+
+    candidate_tags (note_id, bucket, tag_id); counts (bucket, tag_id, files, total); modes (note_id, mode) off, suggest or
+    enforce; `own` (note_id, tag_id) are tags an updated note already carries.
+    """
+    hubs = counts.filter(F.col("files") / F.col("total") >= ratio).select("bucket", "tag_id", "files", "total")
+    new = candidate_tags if own is None else candidate_tags.join(own, ["note_id", "tag_id"], "left_anti")
+    hit = new.join(hubs, ["bucket", "tag_id"]).groupBy("note_id").agg(F.min(F.struct("tag_id", "files", "total")).alias("h"))
+    return modes.join(hit, "note_id", "left").select(
+        "note_id",
+        F.when(F.col("h").isNull() | (F.col("mode") == "off"), "pass").when(F.col("mode") == "enforce", "reject").otherwise("observe").alias("verdict"),
+        "h.tag_id", "h.files", "h.total",
+    )
+
+
+def synonym_drift(new_tags: DataFrame, existing: DataFrame, limit: float = 0.92) -> DataFrame:
+    """(query_id, item_id, score, drift): closest existing tag of each new one."""
+    best = top_neighbours(new_tags, existing, 1)
+    return best.select("query_id", "item_id", "score", (F.col("score") > limit).alias("drift"))
+
+
+def hub_alternatives(rejected: DataFrame, vocabulary: DataFrame, ratio: float = 1 / 3, k: int = 5) -> DataFrame:
+    """Nearest non-hub tags of the bucket for each rejected tag.
+
+    rejected (query_id, bucket, vector, tag_id); vocabulary (item_id, bucket, vector, files, total).
+    """
+    pool = vocabulary.filter(F.col("files") / F.col("total") < ratio)
+    return top_neighbours(rejected, pool, k, group="bucket")
+
+
+def frequent_alternatives(rejected: DataFrame, vocabulary: DataFrame, ratio: float = 1 / 3, k: int = 5) -> DataFrame:
+    """Without vectors: the most frequent non-hub tags of the bucket, ranked once per bucket, then attached."""
+    from tagloom.operators.running import top_n
+
+    pool = top_n(vocabulary.filter(F.col("files") / F.col("total") < ratio), ["bucket"], [F.desc("files"), F.asc("tag_id")], k + 1)
+    order = [F.desc("files"), F.asc("alternative")]
+    rows = rejected.join(pool.select("bucket", F.col("tag_id").alias("alternative"), "files"), "bucket").filter("alternative <> tag_id")
+    return top_n(rows, ["bucket", "tag_id"], order, k).select("bucket", "tag_id", "alternative", "files", "rank")
+
+
+def cold_tags(suggested: DataFrame, counts: DataFrame, limit: int = 4) -> DataFrame:
+    """(note_id, tags): suggested non-hub tags in order, topped up with the bucket's most frequent non-hub tags.
+
+    suggested (note_id, bucket, position, tag_id); counts (bucket, tag_id, files, total).
+    """
+    from tagloom.operators.running import top_n
+
+    hub = (F.col("files") >= 3) & (F.col("files") >= F.col("total") / 3)
+    judged = suggested.join(counts, ["bucket", "tag_id"], "left").withColumn("hub", F.coalesce(hub, F.lit(False)))
+    kept = judged.filter("NOT hub").select("note_id", "bucket", "tag_id", F.lit(0).alias("tier"), "position")
+    spare = top_n(counts.filter(~hub & (F.col("files") >= 1)), ["bucket"], [F.desc("files"), F.asc("tag_id")], 2 * limit)
+    notes = suggested.select("note_id", "bucket").distinct()
+    filler = notes.join(spare.select("bucket", "tag_id", F.col("rank").alias("position")), "bucket").join(kept.select("note_id", "tag_id"), ["note_id", "tag_id"], "left_anti")
+    both = kept.unionByName(filler.select("note_id", "bucket", "tag_id", F.lit(1).alias("tier"), "position"))
+    best = top_n(both, ["note_id"], [F.asc("tier"), F.asc("position"), F.asc("tag_id")], limit)
+    return best.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("rank", "tag_id")))["tag_id"].alias("tags"))
+
+
+def same_axis(suggested: DataFrame, recent_tags: DataFrame, minimum: int = 2) -> DataFrame:
+    """(note_id, hit, overlap): the recent note of the bucket sharing most suggested tags.
+
+    recent_tags (bucket, file_id, tag_id) of the newest few notes per bucket.
+    """
+    shared = suggested.join(recent_tags, ["bucket", "tag_id"]).filter("note_id <> file_id").groupBy("note_id", "file_id").agg(F.count_distinct("tag_id").alias("overlap"))
+    return shared.filter(F.col("overlap") >= minimum).groupBy("note_id").agg(
+        F.max_by("file_id", F.struct("overlap", -F.col("file_id"))).alias("hit"), F.max("overlap").alias("overlap")
+    )
+
+
+def draft_precheck(drafts: DataFrame, tag_hits: DataFrame, hubs: DataFrame, twins: DataFrame, p: GovernanceParams = GovernanceParams()) -> DataFrame:
+    """(draft_id, state, tags): discard near-duplicates, ask a person when fewer than three usable tags are left, else ok.
+
+    tag_hits (draft_id, tag_id, rank) nearest tags; hubs (tag_id); twins (draft_id, score) closest existing note.
+    """
+    usable = tag_hits.join(hubs, "tag_id", "left_anti").groupBy("draft_id").agg(F.array_sort(F.collect_list(F.struct("rank", "tag_id")))["tag_id"].alias("tags"))
+    x = drafts.join(usable, "draft_id", "left").join(twins.select("draft_id", "score"), "draft_id", "left")
+    n = F.coalesce(F.size("tags"), F.lit(0))
+    state = F.when(F.col("score") > p.near_duplicate, "discard").when(n < p.min_tags, "manual").otherwise("ok")
+    return x.select("draft_id", state.alias("state"), F.when(n >= p.min_tags, F.col("tags")).alias("tags"), "score")
+
+
+def health(files: DataFrame, file_tags: DataFrame, components: DataFrame, omega: DataFrame, uncovered: DataFrame, p: GovernanceParams = GovernanceParams()) -> DataFrame:
+    """One row per bucket: components, largest tag share, observability mean, uncovered share, warnings, ok.
+
+    components (bucket, components); omega (bucket, mean); uncovered (bucket, ratio).
+    """
+    from tagloom.operators.ledger import bucket_tag_counts
+
+    counts = bucket_tag_counts(files, file_tags)
+    hub = counts.groupBy("bucket").agg(F.max_by(F.struct("tag_id", "files", "ratio"), F.struct("files", -F.col("tag_id"))).alias("h"))
+    totals = files.groupBy("bucket").agg(F.count(F.lit(1)).alias("files"))
+    x = totals.join(components, "bucket", "left").join(hub, "bucket", "left").join(omega, "bucket", "left").join(uncovered, "bucket", "left")
+    warnings = F.filter(
+        F.array(
+            F.when(F.col("components") > 1, F.lit("components")),
+            F.when(F.col("h.ratio") >= p.hub_ratio, F.lit("hub")),
+            F.when(F.col("ratio") > p.uncovered_warn, F.lit("uncovered")),
+        ),
+        lambda w: w.isNotNull(),
+    )
+    return x.select(
+        "bucket", "files", "components", F.col("h.tag_id").alias("hub_tag"), F.col("h.files").alias("hub_files"), F.col("h.ratio").alias("hub_ratio"),
+        F.col("mean").alias("omega_mean"), F.col("ratio").alias("uncovered"), F.array_join(warnings, ",").alias("warnings"), (F.size(warnings) == 0).alias("ok"),
+    )
+
+
+def patrol_hubs(counts: DataFrame, files: DataFrame, file_tags: DataFrame, ratio: float = 1 / 3, show: int = 8) -> DataFrame:
+    """Findings: hub tags with the number of affected notes and the first few of them."""
+    from tagloom.operators.running import top_n
+
+    hubs = counts.filter(F.col("ratio") >= ratio).select("bucket", "tag_id", F.col("files").alias("affected"), "ratio")
+    hit = file_tags.join(files.select("file_id", "bucket"), "file_id").join(hubs, ["bucket", "tag_id"])
+    first = top_n(hit, ["bucket", "tag_id"], [F.asc("file_id")], show)
+    return first.groupBy("bucket", "tag_id", "affected", "ratio").agg(F.array_sort(F.collect_list("file_id")).alias("notes"))
+
+
+def patrol_untitled(notes: DataFrame) -> DataFrame:
+    """Notes (file_id, bucket, content) without a heading or with a placeholder one."""
+    from tagloom.functions.text import heading, is_untitled
+
+    title = heading(F.col("content"))
+    return notes.filter(title.isNull() | is_untitled(title)).select("file_id", "bucket", title.alias("title"))
+
+
+def retag_check(plan: DataFrame, files: DataFrame, limit: float = 1 / 3) -> DataFrame:
+    """Per bucket and tag of a retag plan (file_id, tag_id): share of notes and whether it stays below the limit."""
+    from tagloom.operators.ledger import bucket_tag_counts
+
+    return bucket_tag_counts(files, plan).withColumn("allowed", F.col("files") < F.col("total") * limit)
+
+
+def corpus_criteria(components: DataFrame, counts: DataFrame, orphans: DataFrame, drift: DataFrame, report: DataFrame) -> DataFrame:
+    """One row per criterion with value and pass flag: one component, no hub, no orphan tags, bodies intact, report agrees."""
+    def row(name, df, value, ok):
+        return df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("criterion"), "value", ok.alias("passed"))
+
+    v = F.col("value")
+    return (
+        row("components", components, F.count_distinct("component"), v == 1)
+        .unionByName(row("hub", counts, F.max("ratio"), v < 1 / 3))
+        .unionByName(row("orphans", orphans, F.count(F.lit(1)), v == 0))
+        .unionByName(row("bodies", drift, F.count_if(F.col("state") != "same"), v == 0))
+        .unionByName(row("report", report, F.count_if(~F.col("agrees")), v == 0))
+    )
