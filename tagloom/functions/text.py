@@ -5,6 +5,8 @@ Patterns, limits and marks below are fixed values.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -169,8 +171,8 @@ def query_fields(turns: DataFrame, lookback: int = 6, limit: int = 4000) -> Data
     earlier = Window.partitionBy("session_id").orderBy("_b").rowsBetween(-keep, -1)
     carry = tails.select("session_id", "_b", F.flatten(F.collect_list("_tail").over(earlier)).alias("_carry"))
     recent = Window.partitionBy("session_id", "_b").orderBy("turn").rowsBetween(-keep, 0)
-    seen = texts.withColumn("_own", F.collect_list("text").over(recent)).join(carry, ["session_id", "_b"])
-    picked = F.concat("_carry", "_own")
+    seen = texts.withColumn("_own", F.collect_list("text").over(recent)).join(carry, ["session_id", "_b"], "left")
+    picked = F.concat(F.coalesce("_carry", F.array().cast("array<string>")), "_own")
     picked = F.slice(picked, F.greatest(F.size(picked) - (lookback - 1), F.lit(1)), F.lit(lookback))
     return seen.select("session_id", "turn", F.array_join(picked, "\n").alias("_t")).select(
         "session_id", "turn", F.expr(f"right(_t, {limit})").alias("query_text")
@@ -182,7 +184,7 @@ def _fnv_step(h: Column, code: Column) -> Column:
 
 
 def hash_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, count): lower-case ascii words, plus CJK single head and adjacent pairs."""
+    """(key, token, count): lower-case ascii words, plus CJK single head and adjacent pairs; a null token without any."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({WORD})"), F.lit(1))
     chars = F.regexp_extract_all(F.col(text), F.lit(f"({CJK})"), F.lit(1))
     pairs = F.when(
@@ -194,7 +196,7 @@ def hash_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
         ),
     ).otherwise(F.array().cast("array<string>"))
     everything = F.filter(F.concat(words, F.slice(chars, 1, 1), pairs), lambda t: t.isNotNull())
-    return df.select(key, F.explode(everything).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("count"))
+    return df.select(key, F.explode_outer(everything).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("count"))
 
 
 def hash_slots(df: DataFrame, key: str, text: str, dim: int = 3072) -> DataFrame:
@@ -206,30 +208,31 @@ def hash_slots(df: DataFrame, key: str, text: str, dim: int = 3072) -> DataFrame
     full = F.filter(codes, lambda c: c > 0)
     h1 = F.aggregate(full, F.lit(FNV_OFFSET).cast("bigint"), _fnv_step)
     h2 = _fnv_step(_fnv_step(F.col("h1"), F.lit(0).cast("bigint")), F.lit(120).cast("bigint"))
-    hashed = (
-        hash_tokens(df, key, text)
-        .withColumn("h1", h1)
-        .select(
-            key,
-            F.explode(
-                F.array(
-                    F.struct((F.col("h1") % dim).cast("int").alias("slot"), (F.col("count") * 1.0).alias("w")),
-                    F.struct((h2 % dim).cast("int").alias("slot"), (F.col("count") * 0.5).alias("w")),
-                )
-            ).alias("s"),
-        )
-    )
-    raw = hashed.groupBy(key, "s.slot").agg(F.sum("s.w").alias("w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    empty = df.select(key).join(norms.select(key), key, "left_anti").select(key, F.lit(0).alias("slot"), F.lit(1.0).alias("weight"))
-    return raw.join(norms, key).select(key, "slot", (F.col("w") / F.col("norm")).alias("weight")).unionByName(empty)
+    def slot(h: Column, w: Column) -> Column:
+        return F.struct((h % dim).cast("int").alias("slot"), w.alias("w"))
+
+    both = F.array(slot(F.col("h1"), F.col("count") * 1.0), slot(h2, F.col("count") * 0.5))
+    blank = F.array(F.struct(F.lit(0).alias("slot"), F.lit(1.0).alias("w")))
+    hashed = hash_tokens(df, key, text).withColumn("h1", h1).select(key, F.explode(F.when(F.col("token").isNull(), blank).otherwise(both)).alias("s"))
+    # a text has at most `dim` slots, so the norm window sees a bounded group
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return hashed.groupBy(key, "s.slot").agg(F.sum("s.w").alias("w")).select(key, "slot", (F.col("w") / norm).alias("weight"))
 
 
 def dense_vectors(slots: DataFrame, key: str, dim: int) -> DataFrame:
-    """Sparse rows to one array<double> per key; at most `dim` entries per group."""
-    entries = slots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("m"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    return entries.select(key, filled.alias("vector"))
+    """Sparse rows to one array<double> per key; at most `dim` entries per group, scattered in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def scatter(slots: pd.Series, weights: pd.Series) -> pd.Series:
+        def fill(at, w):
+            v = np.zeros(dim)
+            v[np.asarray(at, dtype=np.int64)] = w
+            return v
+
+        return pd.Series([fill(a, w) for a, w in zip(slots, weights)])
+
+    entries = slots.groupBy(key).agg(F.collect_list(F.struct("slot", "weight")).alias("e"))
+    return entries.select(key, scatter(F.col("e.slot"), F.col("e.weight")).alias("vector"))
 
 
 def compose_note(title: Column, body: Column, tags: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 SKETCH_ACCURACY = 10_000
 MARGIN = 0.01
+SMALL = 1000
 
 
 @dataclass(frozen=True)
@@ -28,17 +29,19 @@ class Rank:
 def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: list[Rank]) -> DataFrame:
     """One row per group: keys, n and the exact element at each wanted rank (null values are ignored)."""
     data = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = [F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
     for i, rank in enumerate(ranks):
         low, high = max(0.0, rank.near - MARGIN), min(1.0, rank.near + MARGIN)
         aggs.append(F.percentile_approx("_v", [low, high], SKETCH_ACCURACY).alias(f"_b{i}"))
+    # in a small group one position is a large fraction, so its bracket is the whole group
+    small = F.col("n") <= SMALL
     bounds = data.groupBy(*keys).agg(*aggs)
     picks = F.array(
         *[
             F.struct(
                 F.lit(i).alias("which"),
-                F.col(f"_b{i}")[0].alias("low"),
-                F.col(f"_b{i}")[1].alias("high"),
+                F.when(small, F.col("_min")).otherwise(F.col(f"_b{i}")[0]).alias("low"),
+                F.when(small, F.col("_max")).otherwise(F.col(f"_b{i}")[1]).alias("high"),
                 rank.index.cast("bigint").alias("at"),
             )
             for i, rank in enumerate(ranks)
