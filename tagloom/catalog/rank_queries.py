@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagloom.catalog.base import part, query
-from tagloom.catalog.graph_queries import provenance, tag_vector_table, transport
+from tagloom.catalog.graph_queries import tag_vector_table, transport
 from tagloom.catalog.neighbour_queries import chunk_tag_geometry
 from tagloom.catalog.observe_queries import fields, observation, queries
 from tagloom.functions.columns import r6
@@ -86,7 +86,8 @@ def topology(spark, d):
         classes, pairs = similar(spark, d)
         aligned = R.alignments(c, nodes, classes, pairs)
         files = c.select("file_id").distinct()
-        mine = G.independent_fraction(provenance(spark, d)).join(files, "file_id", "left_semi")
+        kept = R.strongest_flows(edges).select("src", "dst")
+        mine = G.independent_fraction(G.edge_provenance(T.file_tags(spark, d), only=kept)).join(files, "file_id", "left_semi")
         return R.topology_alignment(candidates(spark, d), c, aligned, nodes, edges, mine)
 
     return staged(spark, d, "topology", build)

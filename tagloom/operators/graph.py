@@ -91,11 +91,18 @@ def fact_edges(
     return both.groupBy("src", "dst").agg(F.sum("w").alias("weight")).filter(F.col("weight") > 0)
 
 
-def edge_provenance(file_tags: DataFrame, p: GraphParams = GraphParams()) -> DataFrame:
-    """(src, dst, file_id, mass): how much of each edge one note contributes."""
+def edge_provenance(file_tags: DataFrame, p: GraphParams = GraphParams(), only: DataFrame | None = None) -> DataFrame:
+    """(src, dst, file_id, mass): how much of each edge one note contributes.
+
+    `only` (src, dst) restricts the work to some edges before anything is shuffled for the sums.
+    """
+    pairs = ordered_pairs(file_tags, p.max_tags)
+    if only is not None:
+        wanted = only.select(F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b")).distinct()
+        pairs = pairs.withColumns({"_a": F.least("tag_l", "tag_r"), "_b": F.greatest("tag_l", "tag_r")}).join(wanted, ["_a", "_b"], "left_semi").drop("_a", "_b")
     step = F.greatest(F.col("pos_r") - F.col("pos_l"), F.lit(1)) - 1
     fade = F.exp(-p.provenance_decay * step)
-    return ordered_pairs(file_tags, p.max_tags).select(
+    return pairs.select(
         "file_id",
         F.explode(
             F.array(

@@ -78,41 +78,54 @@ def notes_sharing_a_tag(file_tags: DataFrame, direct_above: int = 12) -> DataFra
     """(file_id, shared): how many other notes share at least one tag with each note.
 
     Notes carry few tags, so the size of the union is counted from tag subsets (inclusion and exclusion); a hub
-    tag held by a third of all notes costs one row per note, never one per pair. The few notes with more tags
-    than `direct_above` are joined directly.
+    tag held by a third of all notes costs one row per note, never one per pair. A subset no other note has adds
+    nothing, nor do its supersets, so larger subsets are built only from pairs that occur twice. The few notes with
+    more tags than `direct_above` are joined directly.
     """
     order = Window.partitionBy("file_id").orderBy("tag_id")
-    small = (
+    lists = (
         file_tags.withColumn("_r", F.row_number().over(order))
         .filter(F.col("_r") <= direct_above + 1)
         .groupBy("file_id")
         .agg(F.array_sort(F.collect_list("tag_id")).alias("ts"))
         .withColumn("n", F.size("ts"))
     )
-    masks = F.expr(f"sequence(1, cast(shiftleft(1, least(n, {direct_above})) as int) - 1)")
-    subsets = (
-        small.filter(F.col("n") <= direct_above)
+    small = lists.filter(F.col("n") <= direct_above).select("file_id", "ts", "n")
+    wide = lists.filter(F.col("n") > direct_above).select("file_id")
+
+    def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
+        """Rows whose key occurs in another note too, with the number of other notes."""
+        counts = rows.groupBy(*key).agg((F.count(F.lit(1)) - 1).alias("others")).filter("others > 0")
+        return rows.join(counts, key)
+
+    singles = repeated(small.select("file_id", F.explode("ts").alias("a")), ["a"])
+    pairs = small.select("file_id", "ts", "n", F.posexplode("ts").alias("i", "a")).select(
+        "file_id", "a", F.explode(F.expr("slice(ts, i + 2, n)")).alias("b")
+    )
+    pairs = repeated(pairs, ["a", "b"])
+    linked = pairs.groupBy("file_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))).alias("ts"))
+    masks = F.expr("sequence(1, cast(shiftleft(1, size(ts)) as int) - 1)")
+    larger = (
+        linked.filter(F.size("ts") >= 3)
         .select("file_id", "ts", F.explode(masks).alias("mask"))
-        .select("file_id", F.expr("filter(ts, (t, i) -> (shiftright(mask, i) & 1) = 1)").alias("sub"))
-    )
-    wanted = subsets.select("file_id", F.concat_ws(",", F.col("sub").cast("array<string>")).alias("key"), F.size("sub").alias("k"))
-    counts = wanted.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    wide_files = small.filter(F.col("n") > direct_above).select("file_id")
-    # subsets that wide notes contribute are counted against the wanted keys of narrow notes through a direct join
-    sign = F.when(F.col("k") % 2 == 1, F.col("c")).otherwise(-F.col("c"))
-    narrow = wanted.join(counts, "key").groupBy("file_id").agg((F.sum(sign) - 1).alias("shared"))
-    wide_tags = file_tags.join(wide_files, "file_id", "left_semi")
+        .filter(F.bit_count("mask") >= 3)
+        .select("file_id", F.bit_count("mask").alias("k"), F.expr("array_join(transform(filter(ts, (t, i) -> (shiftright(mask, i) & 1) = 1), t -> cast(t as string)), ',')").alias("key"))
+    )
+    larger = repeated(larger, ["key"])
+    signed = (
+        singles.select("file_id", F.col("others").alias("x"))
+        .unionByName(pairs.select("file_id", (-F.col("others")).alias("x")))
+        .unionByName(larger.select("file_id", F.when(F.col("k") % 2 == 1, F.col("others")).otherwise(-F.col("others")).alias("x")))
+    )
+    wide_tags = file_tags.join(wide, "file_id", "left_semi")
     touching = (
         wide_tags.select(F.col("file_id").alias("wide_id"), "tag_id").join(file_tags.select("file_id", "tag_id"), "tag_id")
         .filter(F.col("wide_id") != F.col("file_id")).select("wide_id", "file_id").distinct()
     )
-    for_wide = touching.groupBy(F.col("wide_id").alias("file_id")).agg(F.count(F.lit(1)).alias("more"))
-    for_narrow = touching.join(wide_files, "file_id", "left_anti").groupBy("file_id").agg(F.count(F.lit(1)).alias("more"))
-    all_ids = file_tags.select("file_id").distinct()
-    extra = for_wide.unionByName(for_narrow)
-    return all_ids.join(narrow, "file_id", "left").join(extra, "file_id", "left").select(
-        "file_id", (F.coalesce("shared", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("bigint").alias("shared")
-    )
+    for_wide = touching.groupBy(F.col("wide_id").alias("file_id")).agg(F.count(F.lit(1)).alias("x"))
+    for_narrow = touching.join(wide, "file_id", "left_anti").groupBy("file_id").agg(F.count(F.lit(1)).alias("x"))
+    everyone = file_tags.select("file_id").distinct().withColumn("x", F.lit(0).cast("bigint"))
+    return everyone.unionByName(signed).unionByName(for_wide).unionByName(for_narrow).groupBy("file_id").agg(F.sum("x").cast("bigint").alias("shared"))
 
 
 def orphan_tags(tags: DataFrame, file_tags: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tagloom.operators.ledger import cumulative_domain
 from tagloom.operators.running import top_n
 from tagloom.params import FieldParams, PyramidParams
-from tagloom.plans.panels import PANEL, assign_slots, to_panels
+from tagloom.plans.panels import assign_slots, to_panels
 from tagloom.session import cut_lineage, new_stage_path
 
 
@@ -122,8 +122,9 @@ def dual_fields(source: DataFrame, transport: DataFrame, p: FieldParams = FieldP
     spark = source.sparkSession
     mass = source.filter("source_mass > 0").select("query_id", F.col("tag_id").alias("node"), F.col("source_mass").alias("m"))
     slots = assign_slots(mass)
-    cols = [f"y{i}" for i in range(PANEL)]
-    y = cut_lineage(to_panels(mass, slots, "node", "m"), "field-0")
+    width = (slots.agg(F.max("slot").alias("s")).first()["s"] or 0) + 1
+    cols = [f"y{i}" for i in range(width)]
+    y = cut_lineage(to_panels(mass, slots, "node", "m").select("panel", "node", *cols), "field-0")
     root = new_stage_path(spark, "field-terms")
     schema = y.schema
     y.write.parquet(f"{root}/step=0")
@@ -147,7 +148,7 @@ def dual_fields(source: DataFrame, transport: DataFrame, p: FieldParams = FieldP
         *[F.sum(F.col(c) * coefficient(p.alpha_transfer)).alias(f"t{i}") for i, c in enumerate(cols)],
     )
     lanes = F.filter(
-        F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f"l{i}").alias("local"), F.col(f"t{i}").alias("transfer")) for i in range(PANEL)]),
+        F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f"l{i}").alias("local"), F.col(f"t{i}").alias("transfer")) for i in range(width)]),
         lambda v: (v["local"] > 0) | (v["transfer"] > 0),
     )
     return sums.select("panel", F.col("node").alias("tag_id"), F.explode(lanes).alias("v")).select("panel", "tag_id", "v.*").join(slots, ["panel", "slot"]).select(

@@ -21,7 +21,7 @@ def assign_slots(query_ids: DataFrame) -> DataFrame:
     slots = (
         ids.withColumn("panel", F.pmod(F.xxhash64("query_id"), F.lit(panels)))
         .withColumn("r", F.row_number().over(place) - 1)
-        .select("query_id", F.struct("panel", F.floor(F.col("r") / PANEL).alias("sub")).alias("panel"), (F.col("r") % PANEL).alias("slot"))
+        .select("query_id", (F.col("panel") + panels * F.floor(F.col("r") / PANEL)).cast("bigint").alias("panel"), (F.col("r") % PANEL).alias("slot"))
     )
     return cut_lineage(slots, "slots")
 

@@ -195,6 +195,11 @@ def alignments(curve: DataFrame, nodes: DataFrame, classes: DataFrame, pairs: Da
     return rows.withColumn("_q", quality).groupBy(*KEY, "node", "weight", "hop").agg(best.alias("b")).select(*KEY, "node", "weight", "hop", "b.*")
 
 
+def strongest_flows(edges: DataFrame, p: TopologyParams = TopologyParams()) -> DataFrame:
+    """The observed flows a query is compared by: above the floor, strongest first, at most max_edges."""
+    return top_n(edges.filter(F.col("normalized_flow") >= p.min_edge_flow), ["query_id"], [F.desc("flow"), F.asc("src"), F.asc("dst")], p.max_edges)
+
+
 def topology_alignment(
     cands: DataFrame, curve: DataFrame, aligned: DataFrame, nodes: DataFrame, edges: DataFrame, independent: DataFrame, p: TopologyParams = TopologyParams()
 ) -> DataFrame:
@@ -206,8 +211,7 @@ def topology_alignment(
         F.count(F.lit(1)).alias("matched_nodes"), F.sum("weight").alias("matched_weight"),
         F.sum(F.col("weight") * F.col("quality")).alias("quality_mass"), F.avg("closure").alias("mean_closure"),
     )
-    kept = top_n(edges.filter(clamp01(F.col("normalized_flow")) >= p.min_edge_flow), ["query_id"], [F.desc("flow"), F.asc("src"), F.asc("dst")], p.max_edges)
-    kept = kept.select("query_id", "src", "dst", F.greatest(positive(F.col("normalized_flow")), F.lit(1e-9)).alias("edge_weight"))
+    kept = strongest_flows(edges, p).select("query_id", "src", "dst", F.greatest(positive(F.col("normalized_flow")), F.lit(1e-9)).alias("edge_weight"))
     edge_totals = kept.groupBy("query_id").agg(F.sum("edge_weight").alias("edge_total"), F.count(F.lit(1)).alias("query_edges"))
     spans = curve.groupBy(*KEY).agg(F.first("file_id").alias("file_id"), F.greatest(F.max("position") - F.min("position"), F.lit(1)).alias("span"))
     a = aligned.select(*KEY, F.col("node").alias("src"), F.col("tag_id").alias("st"), F.col("position").alias("sp"), F.col("quality").alias("sq"), F.col("hop").alias("sh"))
