@@ -7,6 +7,7 @@ from tagloom.catalog import (  # noqa: F401
     neighbour_queries,
     observe_queries,
     rank_queries,
+    retrieve_queries,
     stream_queries,
     text_queries,
 )

@@ -208,8 +208,6 @@ class CurveParams(Bounded):
     sparse_cosine: float = 0.48
     sparse_relief: float = 0.55
     target_contacts: int = 3
-    geometry_floor: bool = False
-    identity_anchor: bool = False
     top_k: int = 300
 
     BOUNDS = {
@@ -223,6 +221,29 @@ class CurveParams(Bounded):
     }
 
 
+@dataclass(frozen=True)
+class AuxiliaryParams(Bounded):
+    """Optional reward floors of the curve ranking; off unless passed."""
+
+    max_bonus: float = 0.018
+    direct_floor: float = 0.018
+    structural_floor: float = 0.012
+    thematic_floor: float = 0.006
+    min_fused: float = 0.12
+    min_closure: float = 0.55
+    min_class: float = 0.10
+    exponent: float = 1.5
+    identity: bool = False
+    identity_potential: float = 0.80
+    identity_specificity: float = 0.55
+    identity_closure: float = 0.35
+    identity_strength: float = 0.55
+    identity_floor: float = 0.018
+    identity_exponent: float = 1.25
+
+    BOUNDS = {"max_bonus": (0.0, 0.2), "exponent": (0.1, 8.0), "identity_exponent": (0.1, 8.0)}
+
+
 @dataclass(frozen=True)
 class SelectionParams(Bounded):
     k: int = 3

@@ -197,3 +197,38 @@ def corpus_criteria(components: DataFrame, counts: DataFrame, orphans: DataFrame
         .unionByName(row("bodies", drift, F.count_if(F.col("state") != "same"), v == 0))
         .unionByName(row("report", report, F.count_if(~F.col("agrees")), v == 0))
     )
+
+
+def approve(
+    drafts: DataFrame, tables: dict[str, DataFrame], counts: DataFrame, mode: str = "suggest", p: GovernanceParams = GovernanceParams()
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Admit a batch of drafts and write the ones that pass. Returns (outcome per draft, new tables).
+
+    Drafts are an upsert batch (file_id, path, bucket, checksum, updated_at, content, vector, tags) plus title,
+    new_tag_reason. Gates run in order: shape, hub tags, synonyms of existing tags are left to `synonym_drift`,
+    near-duplicates of the bucket last. One bad draft never stops the others.
+    """
+    from tagloom.sinks.notes import upsert_notes
+
+    names = tables["tags"].select("name")
+    fresh = drafts.select("file_id", F.explode("tags").alias("name")).join(names, "name", "left_anti").groupBy("file_id").agg(F.collect_set("name").alias("new_tags"))
+    shaped = admission(drafts.join(fresh, "file_id", "left").withColumn("new_tags", F.coalesce("new_tags", F.array().cast("array<string>"))), p)
+    ids = tables["tags"].select("tag_id", "name")
+    wanted = drafts.select(F.col("file_id").alias("note_id"), "bucket", F.explode("tags").alias("name")).join(ids, "name").select("note_id", "bucket", "tag_id")
+    hubs = hub_gate(wanted, counts, drafts.select(F.col("file_id").alias("note_id"), F.lit(mode).alias("mode"))).select(F.col("note_id").alias("file_id"), "verdict")
+    stored = tables["chunks"].join(tables["files"].select("file_id", "bucket"), "file_id").select(F.col("chunk_id").alias("item_id"), "bucket", "vector")
+    twins = top_neighbours(drafts.select(F.col("file_id").alias("query_id"), "bucket", "vector"), stored, 1, group="bucket").select(F.col("query_id").alias("file_id"), F.col("score").alias("twin_score"))
+    judged = shaped.join(hubs, "file_id", "left").join(twins, "file_id", "left").withColumn(
+        "outcome",
+        F.coalesce("reject_reason", F.when(F.col("verdict") == "reject", "hub-tag"), F.when(F.col("twin_score") > p.near_duplicate, "near-duplicate"), F.lit("written")),
+    )
+    passed = judged.filter("outcome = 'written'").select("file_id", "path", "bucket", "checksum", "updated_at", "content", "vector", "tags")
+    return judged.select("file_id", "outcome"), upsert_notes(tables, passed)
+
+
+def position_after_write(file_tags: DataFrame, before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(notes sharing tags per note, change of the health numbers per bucket) after a batch of writes."""
+    from tagloom.operators.joins import notes_sharing_a_tag
+    from tagloom.operators.ledger import summary_delta
+
+    return notes_sharing_a_tag(file_tags), summary_delta(before, after, "bucket", ["files", "components", "hub_ratio", "uncovered"])

@@ -10,7 +10,7 @@ from tagloom.functions.columns import clamp01, positive, zero
 from tagloom.functions.vectors import cosine
 from tagloom.operators.ledger import cumulative_domain, normalised_entropy
 from tagloom.operators.running import top_n
-from tagloom.params import CurveParams
+from tagloom.params import AuxiliaryParams, CurveParams
 
 KEY = ["query_id", "chunk_id"]
 
@@ -182,7 +182,7 @@ def curve_scores(
     semantic = (cls == "direct") & (c("direct_semantic") >= 2)
     strength = F.when(semantic, F.greatest(norm, c("semantic_strength"))).otherwise(norm)
     trust = F.when(semantic, F.greatest(c("confidence"), F.lit(p.semantic_direct_confidence))).otherwise(c("confidence"))
-    x = x.withColumn("bonus", F.when(eligible, F.least(p.bonus_scale * trust * strength, cap)).otherwise(0.0))
+    x = x.withColumns({"eligible": eligible, "cap": cap, "bonus": F.when(eligible, F.least(p.bonus_scale * trust * strength, cap)).otherwise(0.0)})
     direct = clamp01(0.45 * F.greatest(c("semantic_strength"), F.when(c("direct_exact") > 0, 1.0).otherwise(0.0)) + 0.25 * c("max_potential") + 0.20 * c("mean_potential") + 0.10 * clamp01((c("direct_exact") + c("direct_semantic")) / 3))
     contact = clamp01((c("emergent_exact") + F.least(c("strong_hits"), c("target"))) / (c("target") + 1))
     structural = clamp01(0.25 * c("continuity") + 0.20 * c("action_quality") + 0.15 * c("closure_quality") + 0.15 * (1 - c("isolation")) + 0.15 * c("direction") + 0.10 * contact)
@@ -201,6 +201,41 @@ def curve_scores(
     return x.withColumns(zeroed).withColumns({"fused_geometry": F.when(c("live"), fused).otherwise(0.0), "score": c("base_score") + c("bonus")})
 
 
+def identity_contacts(points: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, id_potential, id_specificity, id_closure, id_strength): best exact contact with a start tag."""
+    c = F.col
+    hit = points.filter(c("exact") & c("source_type").isin("seed", "core")).withColumn("_spec", F.coalesce("specificity", F.lit(1.0)))
+    strength = clamp01(c("potential") * c("_spec") * F.sqrt("closure"))
+    return hit.withColumn("_s", strength).groupBy(*KEY).agg(
+        F.max("potential").alias("id_potential"), F.max_by(F.struct("_spec", "closure", "_s"), F.struct(F.round("_s", 9), "idx")).alias("b")
+    ).select(*KEY, "id_potential", c("b._spec").alias("id_specificity"), c("b.closure").alias("id_closure"), c("b._s").alias("id_strength"))
+
+
+def auxiliary_floors(scores: DataFrame, identity: DataFrame, a: AuxiliaryParams = AuxiliaryParams()) -> DataFrame:
+    """Lift small bonuses of well-supported candidates to a floor, never above the cap of their class."""
+    c = F.col
+    cls = c("evidence_class")
+    own = F.when(cls == "direct", c("direct_score")).when(cls == "structural", c("structural_score")).otherwise(c("thematic_score"))
+    floor = F.when(cls == "direct", a.direct_floor).when(cls == "structural", a.structural_floor).otherwise(a.thematic_floor)
+
+    def above(value, low):
+        return clamp01((value - low) / (1 - low))
+
+    solid = c("eligible") & (own >= a.min_class) & (c("fused_geometry") >= a.min_fused) & (c("closure_score") >= a.min_closure)
+    relative = F.cbrt(above(c("fused_geometry"), a.min_fused) * above(own, a.min_class) * above(c("closure_score"), a.min_closure))
+    geometry = F.when(solid, floor * F.pow(relative, a.exponent)).otherwise(0.0)
+    known = (
+        F.lit(a.identity) & c("eligible") & (c("id_potential") >= a.identity_potential) & (c("id_specificity") >= a.identity_specificity)
+        & (c("id_closure") >= a.identity_closure) & (c("id_strength") >= a.identity_strength)
+    )
+    anchored = F.when(known, a.identity_floor * F.pow(above(c("id_strength"), a.identity_strength), a.identity_exponent)).otherwise(0.0)
+    x = scores.join(identity, KEY, "left")
+    target = F.least(c("cap"), F.greatest(geometry, anchored))
+    x = x.withColumn("auxiliary", F.least(F.lit(a.max_bonus), positive(target - c("bonus"))))
+    x = x.withColumn("bonus", F.least(c("cap"), c("bonus") + c("auxiliary")))
+    return x.withColumn("score", c("base_score") + c("bonus")).select(*scores.columns, "auxiliary")
+
+
 def curve_rank(scores: DataFrame, trust: DataFrame, p: CurveParams = CurveParams()) -> DataFrame:
     """Final order, or the untouched input order with a reason when the field or the curves are not trustworthy."""
     c = F.col

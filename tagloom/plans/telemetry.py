@@ -136,3 +136,47 @@ def thinking_time(events: DataFrame) -> DataFrame:
     return running(events, ["session"], ["at", "id"], F.date_trunc("day", F.col("at")), {"total_s": ("sum", F.col("active_s"))})
 
 
+
+
+def tree_report(sessions: DataFrame, metrics: DataFrame, nudges: DataFrame) -> DataFrame:
+    """Per session tree: size, reports, dark children, injected and cited notes, writes that followed a nudge.
+
+    sessions (session_id, parent_id); metrics (session_id, messages, reports, injected, overlap); nudges as for
+    `spontaneity` (session, id, at, kind).
+    """
+    from tagloom.operators.joins import session_tree
+    from tagloom.operators.ledger import spontaneity
+
+    tree = session_tree(sessions)
+    after = spontaneity(nudges).groupBy(F.col("session").alias("session_id")).agg(
+        F.count(F.lit(1)).alias("writes"), F.count_if(F.col("gap_s") <= 600).alias("prompted")
+    )
+    x = tree.join(metrics, "session_id", "left").join(after, "session_id", "left")
+    total = {n: F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in ("messages", "reports", "injected", "overlap", "writes", "prompted")}
+    return x.groupBy("root_id").agg(
+        F.count(F.lit(1)).alias("sessions"), F.count_if((F.col("depth") > 0) & (F.coalesce("reports", F.lit(0)) == 0)).alias("dark_children"), *total.values()
+    ).withColumn("usage", F.when(F.col("injected") > 0, F.col("overlap") / F.col("injected")))
+
+
+def bucket_report(log: DataFrame, snapshots: DataFrame, until: Column) -> DataFrame:
+    """All-time counters of each bucket next to its last health snapshot."""
+    from tagloom.sources.logs import latest_health
+
+    return event_counts(log.filter(F.col("ts") <= until), ["bucket"]).join(latest_health(snapshots, until).withColumnRenamed("ts", "health_at"), "bucket", "left")
+
+
+def gate_calibration(events: DataFrame, messages: DataFrame, score: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rules against labelled gate events: the last user and assistant message before each event, their similarity, the verdicts.
+
+    events (session_id, event_id, at); messages (session_id, at, role, message_id); score (message_id, score);
+    labels (event_id, label).
+    """
+    from tagloom.operators.joins import as_of_last
+    from tagloom.operators.ledger import gate_rules
+
+    out = labels
+    for role in ("user", "assistant"):
+        said = messages.filter(F.col("role") == role)
+        last = as_of_last(events, said, ["session_id"], "at", "event_id", F.col("message_id"), "message_id")
+        out = out.join(last.join(score, "message_id", "left").select("event_id", F.col("score").alias(role)), "event_id", "left")
+    return gate_rules(out.withColumn("window", F.greatest("user", "assistant")).select("label", "user", "assistant", "window"))
