@@ -200,33 +200,67 @@ def _(spark, d):
     return e.withColumns({"entropy": F.round("entropy", 6), "hhi": F.round("hhi", 6)})
 
 
+def pyramid(spark, d):
+    """Levels and features, staged once for every query that needs them."""
+    built = {}
+
+    def build(i):
+        if not built:
+            built[0], built[1] = O.residual_pyramid(queries(spark, d), tag_vector_table(spark, d))
+        return built[i]
+
+    return staged(spark, d, "pyramid_levels", lambda: build(0)), staged(spark, d, "pyramid_features", lambda: build(1))
+
+
 def full_observation(spark, d):
-    """Axis analysis, pyramid, gating, propagation, fusion: everything a query needs before ranking."""
-    tv, q = tag_vector_table(spark, d), queries(spark, d)
-    tags = T.tags(spark, d).select("tag_id", "name")
-    basis = O.axis_basis(tv)
-    axes = O.axis_analysis(q, basis)
-    levels, features = O.residual_pyramid(q, tv)
+    """Axes, gated seeds and blend factors."""
+    q, tags = queries(spark, d), T.tags(spark, d).select("tag_id", "name")
+    basis = staged(spark, d, "axis_basis", lambda: O.axis_basis(tag_vector_table(spark, d)))
+    axes = staged(spark, d, "axes", lambda: O.axis_analysis(q, basis))
+    levels, features = pyramid(spark, d)
     names = basis.select(F.col("label").alias("world")).distinct().join(tags, F.col("world") == F.col("tag_id")).select("world", F.col("name").alias("world_name"))
-    gated, boosts = O.gate_seeds(levels, features, axes, tags, world_names=names)
-    return axes, features, gated, boosts
+    seeds_, boosts = O.gate_seeds(levels, features, axes, tags, world_names=names)
+    return axes, features, staged(spark, d, "gated_seeds", lambda: seeds_), staged(spark, d, "boosts", lambda: boosts)
+
+
+def full_state(spark, d):
+    """Everything `retrieve` needs to know about the batch, from staged tables."""
+    axes, features, gated, boosts = full_observation(spark, d)
+    built = {}
+
+    def spread(i):
+        if not built:
+            built[0], built[1] = O.propagate(gated, transport(spark, d), SPIKE)
+        return built[i]
+
+    nodes, edges = staged(spark, d, "full_nodes", lambda: spread(0)), staged(spark, d, "full_edges", lambda: spread(1))
+
+    def blend(i):
+        if 2 not in built:
+            built[2], built[3] = FD.fuse(queries(spark, d), nodes, gated, boosts, tag_vector_table(spark, d))
+        return built[i]
+
+    return {
+        "nodes": nodes, "edges": edges, "fused": staged(spark, d, "fused", lambda: blend(2)), "selected": staged(spark, d, "fused_tags", lambda: blend(3)),
+        "fields": staged(spark, d, "full_fields", lambda: FD.field_domains(FD.dual_fields(nodes, transport(spark, d)))),
+        "state": O.query_state(axes, features),
+    }
 
 
 @query("axis_analysis")
 def _(spark, d):
-    q = queries(spark, d)
-    return O.axis_analysis(q, O.axis_basis(tag_vector_table(spark, d)))
+    return full_observation(spark, d)[0]
 
 
 @query("residual_pyramid")
 def _(spark, d):
-    levels, _ = O.residual_pyramid(queries(spark, d), tag_vector_table(spark, d))
+    levels, _ = pyramid(spark, d)
     return levels.select("query_id", "level", "tag_id", "rank", r6(F.col("similarity"), "similarity"), r6(F.col("contribution"), "contribution"))
 
 
 @query("pyramid_features")
 def _(spark, d):
-    return O.residual_pyramid(queries(spark, d), tag_vector_table(spark, d))[1]
+    return pyramid(spark, d)[1]
 
 
 @query("gated_seeds")
@@ -236,8 +270,10 @@ def _(spark, d):
 
 @query("fused_queries")
 def _(spark, d):
-    _, _, gated, boosts = full_observation(spark, d)
-    nodes, _ = O.propagate(gated, transport(spark, d), SPIKE)
-    fused, selected = FD.fuse(queries(spark, d), nodes, gated, boosts, tag_vector_table(spark, d))
-    names = O.matched_tags(selected, T.tags(spark, d))
-    return fused.join(names, "query_id").select("query_id", "vector", "matched")
+    o = full_state(spark, d)
+    return o["fused"].join(O.matched_tags(o["selected"], T.tags(spark, d)), "query_id").select("query_id", "vector", "matched")
+
+
+@query("fused_fields")
+def _(spark, d):
+    return full_state(spark, d)["fields"]

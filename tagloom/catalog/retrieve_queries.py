@@ -9,7 +9,7 @@ from tagloom.catalog.curve_queries import points, scores
 from tagloom.catalog.govern_queries import ledger_micros
 from tagloom.catalog.graph_queries import tag_vector_table, transport
 from tagloom.catalog.join_queries import events, sessions
-from tagloom.catalog.observe_queries import SPIKE, queries
+from tagloom.catalog.observe_queries import SPIKE, full_state, queries
 from tagloom.catalog.rank_queries import chunks
 from tagloom.functions.columns import r6
 from tagloom.functions.time import micros
@@ -31,7 +31,7 @@ def corpus(spark, d):
 
 def run(spark, d, mode):
     clock = T.read_table(spark, d, "events").agg(micros(F.max("ts")).alias("t")).scalar()
-    rows = E.retrieve(queries(spark, d), corpus(spark, d), ledger_micros(spark, d), clock, mode, E.RetrievalParams(spike=SPIKE))
+    rows = E.retrieve(queries(spark, d), corpus(spark, d), ledger_micros(spark, d), clock, mode, E.RetrievalParams(spike=SPIKE), observed=None if mode == "plain" else full_state(spark, d))
     return rows.select("query_id", "chunk_id", "rank", "role", r6(F.col("score"), "score"), r6(F.col("effective"), "effective"), "suppressed")
 
 

@@ -335,3 +335,9 @@ def matched_tags(selected: DataFrame, tags: DataFrame, p: PyramidParams = Pyrami
     )
 
 
+
+
+def query_state(axes: DataFrame, features: DataFrame) -> DataFrame:
+    """Axis and pyramid numbers of a query, as the curve ranking weighs them."""
+    f = features.select("query_id", F.col("coverage").alias("coverage_q"), "novelty", "depth")
+    return axes.join(f, "query_id").select("query_id", "logic_depth", "entropy", "resonance", "coverage_q", "novelty", "depth")

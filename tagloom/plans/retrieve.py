@@ -56,14 +56,18 @@ def observe(queries: DataFrame, c: Corpus, p: RetrievalParams, core: DataFrame |
         core_ids = core.withColumn("low", F.lower("name")).join(c.tags.withColumn("low", F.lower("name")).select("low", "tag_id"), "low").groupBy("query_id", "low").agg(F.min("tag_id").alias("tag_id")).drop("low")
     fused, selected = FD.fuse(queries, nodes, seeds, boosts, c.tag_vectors, core_ids, None, p.pyramid)
     fields = cut_lineage(FD.field_domains(FD.dual_fields(nodes, c.transport, p.fields), p.fields), "fields")
-    state = axes.join(features.withColumnsRenamed({"coverage": "coverage_q"}), "query_id").select("query_id", "logic_depth", "entropy", "resonance", "coverage_q", "novelty", "depth")
+    state = O.query_state(axes, features)
     return {"nodes": nodes, "edges": edges, "fused": cut_lineage(fused, "fused"), "selected": selected, "fields": fields, "state": cut_lineage(state, "state")}
 
 
 def retrieve(
-    queries: DataFrame, c: Corpus, ledger: DataFrame, now: Column, mode: str = "topology", p: RetrievalParams = RetrievalParams(), core: DataFrame | None = None
+    queries: DataFrame, c: Corpus, ledger: DataFrame, now: Column, mode: str = "topology", p: RetrievalParams = RetrievalParams(),
+    core: DataFrame | None = None, observed: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Ranked rows per query: score, effective, rank, role or evidence class. Mode topology, curve or plain."""
+    """Ranked rows per query: score, effective, rank, role or evidence class. Mode topology, curve or plain.
+
+    Both graph modes can share one `observed` result of `observe`.
+    """
     if mode == "plain":
         from tagloom.operators.neighbours import top_neighbours
 
@@ -71,7 +75,7 @@ def retrieve(
         rows = near.select("query_id", F.col("item_id").alias("chunk_id"), F.col("score").alias("knn"), F.col("score").alias("raw_score"), "rank", F.lit("unranked").alias("role"))
         rows = rows.join(c.chunks.select("chunk_id", "file_id"), "chunk_id")
     else:
-        o = observe(queries, c, p, core)
+        o = observed or observe(queries, c, p, core)
         vectors = {
             "query_knn": queries, "denoised_knn": o["fused"],
             "local_knn": cut_lineage(FD.field_vectors(o["fields"], c.tag_vectors, "local"), "local"),
