@@ -165,15 +165,18 @@ def _(spark, d):
     return scores(spark, d).select("query_id", "chunk_id", "evidence_class", *[r6(F.col(x), x) for x in ("confidence", "geo_score", "bonus", "fused_geometry")])
 
 
-@query(
-    "curve_rank",
-    f"""SELECT {QID}, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN fb IS NULL THEN 0 ELSE union_rank END, round(CASE WHEN fb IS NULL THEN base + bonus ELSE base END, 9) DESC, round(base, 9) DESC, union_rank)::INTEGER AS rank,
-          round(CASE WHEN fb IS NULL THEN base + bonus ELSE base END, 6) AS score, fb AS fallback_reason FROM dscore JOIN (
+part(
+    "dranked",
+    """SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN fb IS NULL THEN 0 ELSE union_rank END, round(CASE WHEN fb IS NULL THEN base + bonus ELSE base END, 9) DESC, round(base, 9) DESC, union_rank)::INTEGER AS rank,
+          CASE WHEN fb IS NULL THEN base + bonus ELSE base END AS score, fb AS fallback_reason FROM dscore JOIN (
         SELECT query_id, CASE WHEN any_value(nn) < 3 OR any_value(ent) < 0.12 THEN 'query-energy-field-low-trust' WHEN count(*) FILTER (WHERE geo > 0) = 0 THEN 'no-candidate-curve-contacted-query-field'
             WHEN count(*) FILTER (WHERE geo > 0) / count(*) < 0.2 AND max(geo) < 0.01 AND sum(strong_hits + 0.75e0 * exact_hits) FILTER (WHERE geo > 0) < 1 THEN 'candidate-curve-readout-jointly-low-trust'
             WHEN count(*) FILTER (WHERE geo > 0) > 1 AND max(geo) - min(geo) FILTER (WHERE geo > 0) < 0.03 AND max(geo) < 0.01 AND sum(strong_hits + 0.75e0 * exact_hits) FILTER (WHERE geo > 0) < 1 THEN 'candidate-curve-scores-lack-discrimination' END AS fb
         FROM dscore JOIN (SELECT query_id, count(*) AS nn, -sum(source_mass * ln(source_mass)) / ln(count(*)) AS ent FROM obs_nodes GROUP BY 1) USING (query_id) GROUP BY 1) USING (query_id)""",
     ("dscore", "obs_nodes"),
 )
+
+
+@query("curve_rank", f"SELECT {QID}, chunk_id, rank, round(score, 6) AS score, fallback_reason FROM dranked", ("dranked",))
 def _(spark, d):
     return curve_ranked(spark, d).select("query_id", "chunk_id", "rank", r6(F.col("score"), "score"), "fallback_reason")

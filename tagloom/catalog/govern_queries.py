@@ -205,13 +205,18 @@ def _(spark, d):
     return S.newest_steps(events(spark, d).select(F.col("user_id").alias("session_id"), day.alias("turn"), F.col("k").alias("step"), F.col("event_id").alias("seq")))
 
 
-@query("ranking_mode")
+@query(
+    "ranking_mode",
+    """SELECT query_id::BIGINT AS query_id, chunk_id, rank, round(score, 6) AS score, 'topology' AS mode FROM ranked WHERE query_id % 2 = 0
+       UNION ALL SELECT query_id, chunk_id, rank, round(score, 6), 'curve' FROM dranked WHERE query_id % 2 = 1""",
+    ("ranked", "dranked"),
+)
 def _(spark, d):
     from tagloom.catalog.curve_queries import curve_ranked
 
     modes = centroids(spark, d).select("query_id", F.when(F.col("query_id") % 2 == 0, "topology").otherwise("curve").alias("mode"))
     cols = ("query_id", "chunk_id", "rank", "score")
-    return S.pick_mode(modes, topology=ranked(spark, d).select(*cols), curve=curve_ranked(spark, d).select(*cols))
+    return S.pick_mode(modes, topology=ranked(spark, d).select(*cols), curve=curve_ranked(spark, d).select(*cols)).withColumn("score", F.round("score", 6))
 
 
 part(

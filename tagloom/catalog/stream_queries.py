@@ -192,13 +192,19 @@ def _(spark, d):
     return M.audit_rows(ranked(spark, d), shape(spark, d))
 
 
-@query("ranking_diff")
+@query(
+    "ranking_diff",
+    """SELECT query_id::BIGINT AS query_id, count(*) FILTER (WHERE a.rank IS NOT NULL AND b.rank IS NOT NULL) AS common, count(*) FILTER (WHERE b.rank IS NULL) AS only_left, count(*) FILTER (WHERE a.rank IS NULL) AS only_right,
+         count(*) FILTER (WHERE a.rank <> b.rank) AS moved, count(*) FILTER (WHERE abs(a.score - b.score) > 1e-6) AS off_score, round(max(abs(a.score - b.score)), 6) AS largest
+       FROM ranked a FULL JOIN dranked b USING (query_id, chunk_id) GROUP BY 1""",
+    ("ranked", "dranked"),
+)
 def _(spark, d):
     """Topology against curve ranking of the same batch."""
     from tagloom.catalog.curve_queries import curve_ranked
     from tagloom.catalog.rank_queries import ranked
 
-    return M.compare_rankings(ranked(spark, d), curve_ranked(spark, d))
+    return M.compare_rankings(ranked(spark, d), curve_ranked(spark, d)).withColumn("largest", F.round("largest", 6))
 
 
 def event_stream(spark, d):

@@ -60,21 +60,31 @@ def axis_basis(tag_vectors: DataFrame, axes: int = 64) -> DataFrame:
         v = vectors[:, i]
         v = v if v[np.argmax(np.abs(v))] > 0 else -v
         rows.append((a, mean.tolist(), v.tolist(), float(max(values[i], 0.0))))
-    basis = F.broadcast(spark.createDataFrame(rows, "axis int, mean array<double>, basis array<double>, energy double"))
-    centred = F.zip_with("vector", "mean", lambda x, m: x.cast("double") - m)
-    shadow = F.round(F.abs(dot(centred, F.col("basis"))), 9)
-    best = tag_vectors.withColumn("one", F.lit(1)).join(basis.withColumn("one", F.lit(1)), "one").groupBy("axis").agg(
-        F.min_by("tag_id", F.struct(-shadow, F.col("tag_id"))).alias("label")
-    )
-    return basis.join(best, "axis")
+    basis = spark.createDataFrame(rows, "axis int, mean array<double>, basis array<double>, energy double")
+    axes_ = spark.sparkContext.broadcast(np.stack([r[2] for r in rows]))
+    centre = spark.sparkContext.broadcast(mean)
+
+    def farthest(batches):
+        for pdf in batches:
+            if len(pdf):
+                shadow = np.round(np.abs((np.stack(pdf["vector"]).astype(np.float64) - centre.value) @ axes_.value.T), 9)
+                ids = pdf["tag_id"].to_numpy()
+                for axis in range(shadow.shape[1]):
+                    top = shadow[:, axis].max()
+                    yield pd.DataFrame({"axis": [axis], "shadow": [top], "tag_id": [ids[shadow[:, axis] == top].min()]})
+
+    best = tag_vectors.select("tag_id", "vector").mapInPandas(farthest, "axis int, shadow double, tag_id bigint")
+    labels = best.groupBy("axis").agg(F.min_by("tag_id", F.struct(-F.col("shadow"), F.col("tag_id"))).alias("label"))
+    return basis.join(labels, "axis")
 
 
 def axis_analysis(queries: DataFrame, basis: DataFrame) -> DataFrame:
     """(query_id, logic_depth, entropy, resonance, axes, bridges, world): how a query spreads over the axes."""
-    b = F.broadcast(basis.withColumn("one", F.lit(1)))
-    centred = F.zip_with("vector", "mean", lambda x, m: x.cast("double") - m)
-    p = queries.select("query_id", "vector", F.lit(1).alias("one")).join(b, "one").select(
-        "query_id", "axis", "label", dot(centred, F.col("basis")).alias("projection")
+    # the basis has at most 64 rows: one array value that every query unfolds
+    axes = basis.agg(F.collect_list(F.struct("axis", "label", "mean", "basis")).alias("b")).scalar()
+    centred = F.zip_with("vector", "a.mean", lambda x, m: x.cast("double") - m)
+    p = queries.select("query_id", "vector").withColumn("a", F.explode(axes)).select(
+        "query_id", F.col("a.axis").alias("axis"), F.col("a.label").alias("label"), dot(centred, F.col("a.basis")).alias("projection")
     )
     totals = p.groupBy("query_id").agg(F.sum(F.col("projection") ** 2).alias("total"), F.count(F.lit(1)).alias("n"))
     shares = p.join(totals.filter("total > 1e-12"), "query_id").withColumn("share", F.col("projection") ** 2 / F.col("total"))

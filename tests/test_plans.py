@@ -32,6 +32,26 @@ def test_pyramid_explains_and_stops(spark):
     assert f[3]["depth"] == 0 and f[3]["novelty"] == 1.0
 
 
+def test_axes(spark):
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(40, 5)) * np.array([4, 2, 1, 0.5, 0.2])
+    tags = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "tag_id bigint, vector array<double>")
+    basis = O.axis_basis(tags, 4).orderBy("axis").collect()
+    values, vectors = np.linalg.eigh(np.cov(m.T, bias=True))
+    order = np.argsort(-values)[:4]
+    assert np.allclose([r["energy"] for r in basis], values[order])
+    for r, i in zip(basis, order):
+        assert abs(abs(np.dot(r["basis"], vectors[:, i])) - 1) < 1e-9
+        assert r["label"] == np.abs((m - m.mean(axis=0)) @ vectors[:, i]).argmax()
+    q = spark.createDataFrame([(1, m[0].tolist()), (2, m.mean(axis=0).tolist())], "query_id bigint, vector array<double>")
+    got = {r["query_id"]: r for r in O.axis_analysis(q, O.axis_basis(tags, 4)).collect()}
+    x = ((m[0] - m.mean(axis=0)) @ vectors[:, order]) ** 2
+    share = x / x.sum()
+    assert got[1]["entropy"] == pytest.approx(-(share * np.log2(share)).sum() / 2)
+    assert got[1]["axes"] == (share > 0.05).sum()
+    assert (got[2]["logic_depth"], got[2]["entropy"], got[2]["world"]) == (0.0, 1.0, None)
+
+
 def brute_spike(seeds, edges, p):
     w = p.hop_weights()
     out = {}
