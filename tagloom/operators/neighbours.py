@@ -89,10 +89,13 @@ OUT = "query_id bigint, item_id bigint, score double"
 
 
 def _few_queries(queries: DataFrame, max_rows: int) -> list | None:
-    rows = queries.limit(max_rows + 1).collect() if max_rows else []
-    if not rows or len(rows) > max_rows:
+    """The query rows if they stay within the row and byte bounds; reads one row past the bound at most."""
+    head = queries.first() if max_rows else None
+    if head is None:
         return None
-    return rows if len(rows) * len(rows[0]["vector"]) * 8 <= BROADCAST_BYTES else None
+    bound = min(max_rows, BROADCAST_BYTES // (len(head["vector"]) * 8))
+    rows = queries.limit(bound + 1).collect()
+    return rows if len(rows) <= bound else None
 
 
 def pair_grid(
