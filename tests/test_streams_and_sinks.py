@@ -150,3 +150,21 @@ def test_log_lines(spark):
     assert len(rows) == 2 and rows[0]["ids"] == ["D1", "D2"] and rows[0]["gate_passed"] and rows[0]["elapsed_ms"] == 12 and rows[1]["reason"] == "gate-below-threshold"
     h = G.parse_health(spark.createDataFrame([("[2024-01-01T00:00:00.000Z] round=3 components=1 hub=n/a omegaMean=n/a omegaN=0 uncovered=1/2 used=1/2",)], "value string")).first()
     assert (h["round"], h["hub"], h["omega_mean"], h["never_recalled"]) == (3, None, None, 1)
+
+
+def test_approve_writes_only_what_passes(spark):
+    from tagloom.plans.govern import approve
+
+    rows = [
+        (5, "p5", "b", "h", 3, "text", ["a", "b"], "T", "why"),
+        (6, "p6", "b", "h", 3, "text", ["a", "b", "c"], "T", "why"),
+        (7, "p7", "n", "h", 3, "text", ["a", "b", "new"], "T", "why"),
+        (8, "p8", "n", "h", 3, "text", ["a", "b", "new"], "T", None),
+        (9, "p9", "n", "h", 3, "text", ["a", "b", "idle"], None, "why"),
+    ]
+    schema = "file_id bigint, path string, bucket string, checksum string, updated_at int, content string, tags array<string>, title string, new_tag_reason string"
+    drafts = spark.createDataFrame(rows, schema).withColumn("vector", F.array(F.lit(1.0)))
+    counts = spark.createDataFrame([], "bucket string, tag_id bigint, files bigint, total bigint")
+    outcome, after = approve(drafts, tables(spark), counts)
+    assert {r["file_id"]: r["outcome"] for r in outcome.collect()} == {5: "too-few-tags", 6: "near-duplicate", 7: "written", 8: "unconfirmed-new-tags", 9: "missing-title"}
+    assert {r["path"] for r in after["files"].collect()} == {"p1", "p2", "p7"}
