@@ -12,11 +12,14 @@ from __future__ import annotations
 
 import base64
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +32,8 @@ DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 BYTE_CHARS = [chr(0x100 + b) for b in range(256)]
 # Matches longer than this are rarely seen twice; the cache starts anew when it is full.
 CACHED_LENGTH = 48
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
+BLOCK_CHARS = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,8 +59,11 @@ def _field(number: int, value: bytes | int | float) -> bytes:
     return _varint(number << 3) + _varint(value)
 
 
+_TO_CHARS = {b: char for b, char in enumerate(BYTE_CHARS)}
+
+
 def _mapped(data: bytes) -> str:
-    return "".join(map(BYTE_CHARS.__getitem__, data))
+    return data.decode("latin-1").translate(_TO_CHARS)
 
 
 def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
@@ -75,44 +82,77 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary; `ids` of a match are kept as packed 32-bit integers."""
+    """Encoder and decoder of one vocabulary. The packed ids of a match are kept, as most matches recur."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         # White space is the Unicode property, also where a Python engine adds control characters to \s.
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.ranks = ranks
         self.by_piece = np.array(sorted(ranks.values()), dtype="<u4")
+        self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
-        self.cache = _Cache(self._encode_match)
-
-    def _encode_match(self, match: str) -> bytes:
-        data = match.encode()
-        rank = self.ranks.get(data)
-        if rank is not None:
-            return struct.pack("<I", rank)
-        return self.by_piece[self.model.encode(_mapped(data))].tobytes()
+        self.cache: dict[str, bytes] = {}
+
+    def _encode_matches(self, matches: list[str]) -> dict[str, bytes]:
+        """Packed ids of different matches, through one call of the model."""
+        data = [m.encode() for m in matches]
+        out = {m: struct.pack("<I", self.ranks[d]) for m, d in zip(matches, data, strict=True) if d in self.ranks}
+        rest = [(m, d) for m, d in zip(matches, data, strict=True) if m not in out]
+        if rest:
+            # Byte 255 is in no UTF-8 text and separates the matches while they are mapped together.
+            mapped = _mapped(b"\xff".join(d for _, d in rest)).split(BYTE_CHARS[255])
+            lists = self.model.encode(mapped, num_threads=1)
+            ends = np.cumsum([len(x) for x in lists]) * 4
+            flat = self.by_piece[np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=ends[-1] // 4)].tobytes()
+            start = 0
+            for (m, _), end in zip(rest, ends.tolist(), strict=True):
+                out[m] = flat[start:end]
+                start = end
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, offsets of the texts)."""
+        packed = []
+        for block in _blocks(texts):
+            parts = [self.split(t) for t in block]
+            if len(self.cache) > CACHE_ENTRIES:
+                self.cache.clear()
+            missing = [m for m in set(chain.from_iterable(parts)) if m not in self.cache]
+            fresh = self._encode_matches(missing)
+            long = {m: x for m, x in fresh.items() if len(m) > CACHED_LENGTH}
+            self.cache.update(fresh)
+            packed += [b"".join(map(self.cache.__getitem__, p)) for p in parts]
+            for m in long:
+                del self.cache[m]
+        offsets = np.zeros(len(packed) + 1, dtype=np.int64)
+        np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
+        return np.frombuffer(b"".join(packed), dtype="<i4"), offsets
 
     def encode(self, text: str | None) -> np.ndarray:
-        packed = b"".join(map(self.cache.__getitem__, self.split(text or "")))
-        return np.frombuffer(packed, dtype="<u4").astype(np.int32)
+        return self.encode_all([text])[0]
 
-    def decode(self, ids: np.ndarray | None) -> bytes:
-        return b"" if ids is None else b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(bytes of all lists one after another, offsets of the lists)."""
+        data = [b"".join(map(self.tokens.__getitem__, ids[a:b].tolist())) for a, b in pairwise(offsets.tolist())]
+        ends = np.zeros(len(offsets), dtype=np.int64)
+        np.cumsum([len(x) for x in data], out=ends[1:])
+        return b"".join(data), ends
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
 
-class _Cache(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
 
-    def __missing__(self, match: str) -> bytes:
-        packed = self.make(match)
-        if len(match) <= CACHED_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[match] = packed
-        return packed
+def _blocks(texts: list[str | None]) -> Iterator[list[str]]:
+    """Runs of texts of about BLOCK_CHARS characters, so that the matches of a batch need little memory."""
+    block, size = [], 0
+    for text in texts:
+        block.append(text or "")
+        size += len(block[-1])
+        if size > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
 @lru_cache(maxsize=4)
@@ -121,22 +161,34 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of an array of integer lists; null lists are empty."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+    return np.asarray(lists.flatten(), dtype=np.int32), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _binary(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
 def encode(text: Column | str, path: str, pattern: str = public_tokenizers.PATTERN) -> Column:
     """Token ids of a text as an array of integers."""
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([codec(path, pattern).encode(t) for t in texts], dtype=object)
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        values, offsets = codec(path, pattern).encode_all(texts.to_pylist())
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
-    return ids(text)
+    # The planner would otherwise copy the call into every use of its result and encode once for each.
+    return ids.asNondeterministic()(text)
 
 
 def decode(ids: Column | str, path: str, pattern: str = public_tokenizers.PATTERN) -> Column:
     """Bytes of the text the ids stand for; an id outside the vocabulary fails, a null list gives no bytes."""
 
-    @F.pandas_udf("binary")
-    def data(lists: pd.Series) -> pd.Series:
-        return pd.Series([codec(path, pattern).decode(x) for x in lists], dtype=object)
+    @F.arrow_udf("binary")
+    def data(lists: pa.Array) -> pa.Array:
+        return _binary(*codec(path, pattern).decode_all(*_flat(lists)))
 
     return data(ids)
 
@@ -144,9 +196,10 @@ def decode(ids: Column | str, path: str, pattern: str = public_tokenizers.PATTER
 def packed(ids: Column | str) -> Column:
     """Ids as little-endian unsigned 32-bit integers."""
 
-    @F.pandas_udf("binary")
-    def pack(lists: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(x, dtype="<u4").tobytes() for x in lists], dtype=object)
+    @F.arrow_udf("binary")
+    def pack(lists: pa.Array) -> pa.Array:
+        values, offsets = _flat(lists)
+        return _binary(np.ascontiguousarray(values, dtype="<i4"), offsets * 4)
 
     return pack(ids)
 

@@ -20,7 +20,8 @@ def reference():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-CASES = ["", " ", "a", "don't  stop\n\n\tnow ", "Straße größer ñandú élève", "<|endoftext|>", "\x00\x1c\x1d a\x85b c　d", "日本語テキスト 👩‍👩‍👧", "x" * 5000, "ab " * 3000, "123 4567", "ſK"]
+CASES = ["", " ", "a", "don't  stop\n\n\tnow ", "Straße größer ñandú élève", "<|endoftext|>", "\x00\x1c\x1d a\x85b c　d", "日本語テキスト 👩‍👩‍👧", "x" * 5000, "ab " * 3000, "123 4567", "ſK",
+         "two  spaces here", "a b\n c d", " lead", "trail ", "a \n b", "x 's y 'll 't", "it's 'tis", "a\u00a0 b\u2003c d\x1f e \x1ff"]
 
 
 @pytest.mark.parametrize("text", CASES)
@@ -31,7 +32,7 @@ def test_same_ids_as_the_rank_encoder(reference, text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60))
+@given(st.one_of(st.text(max_size=60), st.text(alphabet=" \n\t'sltab1.é\u00a0\x1c", max_size=40)))
 def test_random_texts(text):
     ranks = bpe.codec(PATH, public_tokenizers.PATTERN)
     assert ranks.decode(ranks.encode(text)) == text.encode()
