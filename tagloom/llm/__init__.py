@@ -1,4 +1,4 @@
 """Operators for preparing training text, with their queries; nothing else in the library imports this package."""
 
-from tagloom.llm import bpe, host_rules, minhash, rule_ensemble, secrets, toxicity, warc  # noqa: F401
+from tagloom.llm import bpe, decontaminate, host_rules, minhash, rule_ensemble, secrets, toxicity, warc  # noqa: F401
 from tagloom.llm.registry import ORACLES, QUERIES  # noqa: F401
