@@ -1,10 +1,8 @@
-from collections import defaultdict
-
-import public_tokenizers  # noqa: F401
 from pyspark.sql import functions as F
 
 from tagloom.llm import decontaminate as dc
 from tagloom.llm.registry import table
+from tests_llm_brute import brute_leaks
 
 ITEM = "If Alice has 3 apples weighing 5 kg each and Bob takes 2 of them away how many apples does Alice have left at the end"
 FILL = "some other words that have nothing to do with the question are placed around it for good measure "
@@ -43,25 +41,6 @@ def test_blocks_give_the_same(spark, monkeypatch):
 
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
-    codes = dc._TokenCodes()
-    items = {r["item_id"]: dc.template_windows(r["text"], codes) for r in table(spark, sf, "benchmark").collect()}
-    want = set()
-    for d in table(spark, sf, "documents").collect():
-        at, h, values = dc.template_windows(d["text"], codes)
-        where = defaultdict(list)
-        for i, x in enumerate(h.tolist()):
-            where[x].append(i)
-        for item, (iat, ih, iv) in items.items():
-            lines = defaultdict(list)
-            for i, x in enumerate(ih.tolist()):
-                for j in where.get(x, ()):
-                    lines[at[j] - iat[i]].append((i, j))
-            found = set()
-            for pairs in lines.values():
-                slots = {(int(a), int(b)) for i, j in pairs for a, b in zip(iv[i], values[j], strict=True) if a}
-                if len({a for a, _ in slots}) == len(slots) == len({b for _, b in slots}):
-                    found |= {i for i, _ in pairs}
-            if len(ih) and 100 * len(found) >= 80 * len(ih):
-                want.add((d["doc_id"], item))
+    want = brute_leaks(table(spark, sf, "documents").collect(), table(spark, sf, "benchmark").collect())
     got = {(r["doc_id"], r["item_id"]) for r in dc.templates(spark, sf).collect()}
     assert got == want and want

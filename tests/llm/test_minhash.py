@@ -5,32 +5,13 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import minhash as mh
 from tagloom.llm.components import component_labels
-
-
-def brute(rows):
-    sets = {}
-    for d, t in rows:
-        words = "".join(c.lower() if "A" <= c <= "Z" else " " if c in "\t\n\x0b\x0c\r" else c for c in t or "").split(" ")
-        words = [w for w in words if w]
-        sets[d] = {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
-    root = {d: d for d in sets}
-
-    def find(x):
-        return x if root[x] == x else find(root[x])
-
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {d: (len(sets[d]), find(d)) for d in ids}
+from tests_llm_brute import brute_components
 
 
 def check(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in mh.near_duplicates(docs).collect()}
-    assert got == brute(rows)
+    assert got == brute_components(rows)
 
 
 def test_chains_copies_and_edges(spark):
