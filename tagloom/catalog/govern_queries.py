@@ -94,7 +94,7 @@ part(
 part(
     "adjusted",
     """SELECT *, CASE WHEN pool >= 5 THEN score - CASE WHEN passive > 0 AND nw >= lp THEN 0.08e0 * tanh(passive / 2e0) * exp(-(nw - lp) / 3.6e9 * ln(2) / 24) ELSE 0 END ELSE score END AS effective FROM (
-         SELECT r.query_id, r.chunk_id, r.rank, suppressed, pool, passive, lp, nw, base + CASE WHEN active > 0 AND nw >= la THEN 0.05e0 * tanh(active / 2e0) * exp(-(nw - la) / 8.64e10 * ln(2) / 30) ELSE 0 END AS score FROM (
+         SELECT r.query_id, r.chunk_id, r.rank, suppressed, pool, passive, lp, nw, base + CASE WHEN active > 0 AND la IS NOT NULL AND pool > 1 THEN 0.05e0 * tanh(active / 2e0) * exp(-greatest(nw - la, 0) / 8.64e10 * ln(2) / 30) ELSE 0 END AS score FROM (
            SELECT k.query_id, k.chunk_id, k.rank, c.query_score < 0.6 AS suppressed, CASE WHEN c.query_score < 0.6 THEN c.query_score ELSE k.score END AS base, count(*) OVER (PARTITION BY k.query_id) AS pool, (SELECT epoch_us(max(ts)) FROM events) AS nw
            FROM ranked k JOIN cands c USING (query_id, chunk_id)) r LEFT JOIN ledger_us l ON l.file_id = r.chunk_id)""",
     ("ranked", "cands", "ledger_us"),
@@ -186,8 +186,14 @@ def _(spark, d):
 
 @query(
     "repeat_suppression",
-    """SELECT session_id, turn, key, (turn - run_start) % 8 = 0 AS shown FROM (SELECT *, max(start) OVER (PARTITION BY session_id ORDER BY turn) AS run_start FROM (
-         SELECT user_id AS session_id, event_id AS turn, key, CASE WHEN key IS DISTINCT FROM lag(key) OVER (PARTITION BY user_id ORDER BY event_id) THEN event_id END AS start FROM (SELECT *, CASE WHEN value < 100 THEN 'low' ELSE 'high' END AS key FROM events)))""",
+    """WITH RECURSIVE numbered AS MATERIALIZED (
+         SELECT user_id AS session_id, event_id AS turn, CASE WHEN value < 100 THEN 'low' ELSE 'high' END AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events
+       ), walk AS (
+         SELECT session_id, turn, key, n, true AS shown, turn AS last_shown FROM numbered WHERE n = 1
+         UNION ALL
+         SELECT x.session_id, x.turn, x.key, x.n, x.key <> w.key OR x.turn - w.last_shown >= 8, CASE WHEN x.key <> w.key OR x.turn - w.last_shown >= 8 THEN x.turn ELSE w.last_shown END
+         FROM walk w JOIN numbered x ON x.session_id = w.session_id AND x.n = w.n + 1
+       ) SELECT session_id, turn, key, shown FROM walk""",
 )
 def _(spark, d):
     key = F.when(F.col("value") < 100, "low").otherwise("high")
@@ -392,8 +398,7 @@ def _(spark, d):
 
 @query(
     "patrol_hubs",
-    """SELECT bucket, tag_id, files AS affected, round(files / total, 6) AS ratio, notes FROM type_counts JOIN (SELECT bucket AS b, tag_id AS t, list(note_id ORDER BY note_id) AS notes FROM (
-         SELECT *, row_number() OVER (PARTITION BY bucket, tag_id ORDER BY note_id) AS rn FROM suggestions) WHERE rn <= 8 GROUP BY 1, 2) ON b = bucket AND t = tag_id WHERE files / total >= 1 / 3.0""",
+    """SELECT bucket, tag_id, files AS affected, round(files / total, 6) AS ratio, notes FROM type_counts JOIN (SELECT bucket AS b, tag_id AS t, list(note_id ORDER BY note_id) AS notes FROM suggestions GROUP BY 1, 2) ON b = bucket AND t = tag_id WHERE files / total >= 1 / 3.0""",
     ("type_counts", "suggestions"),
 )
 def _(spark, d):

@@ -142,7 +142,7 @@ def _(spark, d):
     "title_chain",
     r"""SELECT doc_id, array_to_string(words[1:3], ' ') AS heading,
          CASE WHEN doc_id % 2 = 0 THEN 'T ' || doc_id::VARCHAR ELSE coalesce(nullif(array_to_string(words[1:3], ' '), ''), bucket) END AS title,
-         coalesce(nullif(regexp_replace(regexp_replace(left(regexp_replace(regexp_replace(left(content, 200), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), '', ''), '', ''), ''), 'diary') AS slug
+         coalesce(nullif(regexp_replace(regexp_replace(left(regexp_replace(regexp_replace(content, '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), '', ''), '', ''), ''), 'diary') AS slug
        FROM tagged_notes""",
     ("tagged_notes",),
 )
@@ -153,7 +153,7 @@ def _(spark, d):
         "doc_id",
         F.coalesce(X.heading(c), F.lit("")).alias("heading"),
         X.title_chain(explicit, c, F.col("bucket")).alias("title"),
-        X.slug(F.substring(c, 1, 200)).alias("slug"),
+        X.slug(c).alias("slug"),
     )
 
 
@@ -221,7 +221,7 @@ def _(spark, d):
 @query(
     "citations",
     r"""SELECT user_id, cited, count(*) AS mentions FROM (
-          SELECT user_id, unnest(list_distinct(regexp_extract_all('see D' || k || ' and XD' || k || ', D' || (k::INTEGER % 7)::VARCHAR || '!', '\bD(\d{1,3})\b', 1))) AS cited
+          SELECT user_id, unnest(list_distinct(regexp_extract_all('see D' || k || ' and XD' || k || ', D' || (k::INTEGER % 7)::VARCHAR || '!', '\bD(\d+)\b', 1))) AS cited
           FROM (SELECT user_id, regexp_extract(props, '\d+') AS k FROM events)) GROUP BY 1, 2""",
 )
 def _(spark, d):
@@ -229,7 +229,7 @@ def _(spark, d):
     said = F.concat(F.lit("see D"), k, F.lit(" and XD"), k, F.lit(", D"), (k.cast("int") % 7).cast("string"), F.lit("!"))
     return (
         T.read_table(spark, d, "events")
-        .select("user_id", F.explode(X.citations(said)).alias("cited"))
+        .select("user_id", F.explode(X.citations(said, digits=None)).alias("cited"))
         .groupBy("user_id", "cited")
         .agg(F.count(F.lit(1)).alias("mentions"))
     )

@@ -143,8 +143,10 @@ def technical_name(text: Column, allow_space: bool = True) -> Column:
     return (F.length(text) > 3) & text.rlike(rf"^[A-Za-z0-9\-_.{extra}]+$")
 
 
-def citations(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\bD(\d{1,3})\b"), F.lit(1)))
+def citations(text: Column, digits: int | None = 3) -> Column:
+    """Cited note numbers of up to `digits` digits, which suits corpora with few notes; None takes numbers of any length."""
+    count = "+" if digits is None else f"{{1,{digits}}}"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\bD(\d{count})\b"), F.lit(1)))
 
 
 def text_hash(text: Column, length: int = 64) -> Column:

@@ -159,14 +159,11 @@ def health(files: DataFrame, file_tags: DataFrame, components: DataFrame, omega:
     )
 
 
-def patrol_hubs(counts: DataFrame, files: DataFrame, file_tags: DataFrame, ratio: float = 1 / 3, show: int = 8) -> DataFrame:
-    """Findings: hub tags with the number of affected notes and the first few of them."""
-    from tagloom.operators.running import top_n
-
+def patrol_hubs(counts: DataFrame, files: DataFrame, file_tags: DataFrame, ratio: float = 1 / 3) -> DataFrame:
+    """Findings: hub tags with the number of affected notes and all of them."""
     hubs = counts.filter(F.col("ratio") >= ratio).select("bucket", "tag_id", F.col("files").alias("affected"), "ratio")
     hit = file_tags.join(files.select("file_id", "bucket"), "file_id").join(hubs, ["bucket", "tag_id"])
-    first = top_n(hit, ["bucket", "tag_id"], [F.asc("file_id")], show)
-    return first.groupBy("bucket", "tag_id", "affected", "ratio").agg(F.array_sort(F.collect_list("file_id")).alias("notes"))
+    return hit.groupBy("bucket", "tag_id", "affected", "ratio").agg(F.array_sort(F.collect_list("file_id")).alias("notes"))
 
 
 def patrol_untitled(notes: DataFrame) -> DataFrame:

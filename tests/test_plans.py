@@ -167,6 +167,17 @@ def test_repeats(spark):
     keys = "aaaaaaaaaabba"
     df = spark.createDataFrame([(1, i, k) for i, k in enumerate(keys)], "session_id bigint, turn bigint, key string")
     assert [r["turn"] for r in S.suppress_repeats(df).orderBy("turn").collect() if r["shown"]] == [0, 8, 10, 12]
+    gapped = spark.createDataFrame([(1, t, "a") for t in (1, 10, 12, 20)] + [(2, 3, "a")], "session_id bigint, turn bigint, key string")
+    assert sorted((r["session_id"], r["turn"]) for r in S.suppress_repeats(gapped).collect() if r["shown"]) == [(1, 1), (1, 10), (1, 20), (2, 3)]
+
+
+def test_usage_bonus_needs_company_and_forgives_clocks(spark):
+    hour = 3_600_000_000
+    rows = [(1, 1, 1, 0.9, 0.9, 0), (2, 1, 1, 0.9, 0.9, 0), (2, 2, 2, 0.8, 0.8, 0)]
+    ranked = spark.createDataFrame(rows, "query_id bigint, chunk_id bigint, file_id bigint, knn double, raw_score double, stamp bigint")
+    ledger = spark.createDataFrame([(1, 0, 50, None, 200 * hour)], "file_id bigint, passive bigint, active bigint, last_passive_at bigint, last_active_at bigint")
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in S.adjusted_scores(ranked, ledger, F.lit(100 * hour)).collect()}
+    assert got[1, 1] == 0.9 and got[2, 2] == 0.8 and abs(got[2, 1] - 0.95) < 1e-6
 
 
 def test_parameter_bounds():
