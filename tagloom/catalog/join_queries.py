@@ -66,17 +66,23 @@ def _(spark, d):
 
 @query(
     "interval_match",
-    """SELECT user_id, event_id, call_id, same_label, round(gap_us / 1e6, 6) AS gap_s FROM (
-         SELECT *, row_number() OVER (PARTITION BY user_id, call_id ORDER BY same_label DESC, gap_us, event_id) AS r2 FROM (
-           SELECT e.user_id, e.event_id, c.event_id AS call_id, e.k % 4 = c.k % 4 AS same_label, abs(epoch_us(e.ts) - epoch_us(c.ts)) AS gap_us,
-             row_number() OVER (PARTITION BY e.event_id ORDER BY (e.k % 4 = c.k % 4) DESC, abs(epoch_us(e.ts) - epoch_us(c.ts)), c.event_id) AS r1
-           FROM ev e JOIN ev c ON e.user_id = c.user_id AND e.event_type = 'purchase' AND c.event_type = 'click'
-             AND c.ts >= e.ts - INTERVAL 2 DAY AND c.ts <= e.ts + INTERVAL 3 HOUR) WHERE r1 = 1) WHERE r2 = 1""",
+    """SELECT * FROM (WITH RECURSIVE asking AS MATERIALIZED (
+         SELECT user_id, event_id, epoch_us(ts) AS us, k % 4 AS label, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ev WHERE event_type = 'purchase'
+       ), options AS MATERIALIZED (
+         SELECT a.user_id, a.n, a.event_id, list({'id': c.event_id, 'same': c.k % 4 = a.label, 'gap': abs(epoch_us(c.ts) - a.us)} ORDER BY (c.k % 4 = a.label) DESC, abs(epoch_us(c.ts) - a.us), c.ts, c.event_id) FILTER (c.event_id IS NOT NULL) AS o
+         FROM asking a LEFT JOIN ev c ON c.user_id = a.user_id AND c.event_type = 'click' AND epoch_us(c.ts) BETWEEN a.us - 172800000000 AND a.us + 10800000000
+         GROUP BY a.user_id, a.n, a.event_id
+       ), walk AS (
+         SELECT user_id, n, event_id, o[1] AS pick, CASE WHEN o[1] IS NULL THEN []::BIGINT[] ELSE [o[1].id] END AS used FROM options WHERE n = 1
+         UNION ALL
+         SELECT user_id, n, event_id, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.id) END FROM (
+           SELECT x.user_id, x.n, x.event_id, list_filter(x.o, lambda c: NOT list_contains(w.used, c.id))[1] AS pick, w.used FROM walk w JOIN options x ON x.user_id = w.user_id AND x.n = w.n + 1)
+       ) SELECT user_id, event_id, pick.id AS call_id, pick.same AS same_label, round(pick.gap / 1e6, 6) AS gap_s FROM walk WHERE pick IS NOT NULL)""",
     ("ev",),
 )
 def _(spark, d):
     e = events(spark, d).select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("t"), (F.col("k") % 4).alias("label"), "event_type")
-    hit = J.interval_match(e.filter("event_type = 'click'"), e.filter("event_type = 'purchase'"), ["user_id"], 2 * 86400, 3 * 3600)
+    hit = J.interval_match_in_order(e.filter("event_type = 'click'"), e.filter("event_type = 'purchase'"), ["user_id"], 2 * 86400, 3 * 3600)
     return hit.withColumn("gap_s", F.round("gap_s", 6))
 
 

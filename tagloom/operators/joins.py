@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tagloom.functions.time import micros
@@ -60,6 +63,42 @@ def interval_match(
     )
 
 
+def interval_match_in_order(calls: DataFrame, events: DataFrame, keys: list[str], before_s: float, after_s: float) -> DataFrame:
+    """One-to-one match in which events choose in order of (t, id) among the calls no earlier event has taken.
+
+    Inputs and preferences are those of `interval_match`: a call with the same label first, then the nearest in time,
+    then the earlier one. A key's rows stream through a task by time; only open calls of one window are kept.
+    """
+    before, after = int(before_s * 1e6), int(after_s * 1e6)
+    rows = events.select(*keys, "id", "t", "label", F.lit(1).alias("side")).unionByName(calls.select(*keys, "id", "t", "label", F.lit(0).alias("side")))
+    rows = rows.withColumn("us", micros(F.col("t"))).drop("t")
+    # an event is decided once every call it may take has been seen
+    rows = rows.withColumn("due", F.col("us") + F.col("side") * after).repartition(*keys).sortWithinPartitions(*keys, "due", "side", "id")
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    out = StructType([*(rows.schema[k] for k in keys), StructField("event_id", kinds["id"]), StructField("call_id", kinds["id"]), StructField("same_label", BooleanType()), StructField("gap_s", DoubleType())])
+
+    def match(batches):
+        key, open_calls = None, []
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                own = tuple(r[k] for k in keys)
+                if own != key:
+                    key, open_calls = own, []
+                if r["side"] == 0:
+                    open_calls.append(r)
+                    continue
+                open_calls = [c for c in open_calls if c["us"] >= r["us"] - before]
+                if open_calls:
+                    best = min(open_calls, key=lambda c: (c["label"] != r["label"], abs(c["us"] - r["us"]), c["us"], c["id"]))
+                    open_calls.remove(best)
+                    found.append((*own, r["id"], best["id"], best["label"] == r["label"], abs(best["us"] - r["us"]) / 1e6))
+            columns = list(zip(*found, strict=True)) if found else [[] for _ in out.fields]
+            yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, out.fields, strict=True)], names=out.names)
+
+    return rows.mapInArrow(match, out)
+
+
 def interval_match_rounds(calls: DataFrame, events: DataFrame, keys: list[str], before_s: float, after_s: float) -> DataFrame:
     """Repeat `interval_match` on what is left until no pair is found: best pairs first, every call used once."""
     from tagloom.session import cut_lineage

@@ -72,11 +72,11 @@ def candidate_union(
 
 
 def candidate_cosines(cands: DataFrame, sources: dict[str, DataFrame], chunks: DataFrame) -> DataFrame:
-    """Candidates with the cosine of their chunk to each source vector, all in one pass."""
+    """Candidates with the cosine of their chunk to each source vector, all in one pass; 0 where a query has no such vector."""
     out = cands.join(chunks.select("chunk_id", "file_id", F.col("vector").alias("_c")), "chunk_id")
     for name, q in sources.items():
-        out = out.join(q.select("query_id", F.col("vector").alias(f"_{name}")), "query_id")
-    scores = {name.replace("_knn", "_score"): cosine(F.col(f"_{name}"), F.col("_c")) for name in sources}
+        out = out.join(q.select("query_id", F.col("vector").alias(f"_{name}")), "query_id", "left")
+    scores = {name.replace("_knn", "_score"): zero(cosine(F.col(f"_{name}"), F.col("_c"))) for name in sources}
     return out.select(*cands.columns, "file_id", *[c.alias(n) for n, c in scores.items()])
 
 
@@ -368,6 +368,10 @@ def morphology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return x.withColumn("mode", mode)
 
 
+# Omega of an empty observation: the floor of all three parts, halved as the observation is not complete.
+EMPTY_OMEGA = 0.01
+
+
 def observability(nodes: DataFrame, edges: DataFrame, kappa_edge: float = 0.5, kappa_ratio: float = 0.3, floor: float = 0.02) -> DataFrame:
     """(query_id, omega, regime): how much structure an observation shows."""
     n = nodes.groupBy("query_id").agg(F.count_if(F.col("hop") == 0).alias("seeds"), F.count(F.lit(1)).alias("reached"))
@@ -390,7 +394,9 @@ def observability(nodes: DataFrame, edges: DataFrame, kappa_edge: float = 0.5, k
 def base_scores(cands: DataFrame, path: DataFrame, topo: DataFrame, obs: DataFrame, shape: DataFrame, p: TopologyParams = TopologyParams()) -> DataFrame:
     """pure_score (semantic plus a bounded path bonus) and graph_score (shape-weighted alignment)."""
     # a note without tags has no path and keeps its semantic score
-    x = cands.join(path, KEY, "left").fillna(0.0, ["path_core", "tag_closure", "support_coverage", "path_quality"]).join(topo.drop("mean_closure", "direction"), KEY).join(obs, KEY).join(shape.select("query_id", "atomic", "propositional", "narrative", "mode"), "query_id")
+    x = cands.join(path, KEY, "left").fillna(0.0, ["path_core", "tag_closure", "support_coverage", "path_quality"]).join(topo.drop("mean_closure", "direction"), KEY).join(obs, KEY).join(shape.select("query_id", "atomic", "propositional", "narrative", "mode"), "query_id", "left")
+    # a query whose observation is empty has no confidence in any shape
+    x = x.fillna(1 / 3, ["atomic", "propositional", "narrative"]).fillna("atomic", ["mode"])
     c = F.col
     semantic = clamp01((0.25 * clamp01(c("query_score")) + 0.2 * clamp01(c("local_score")) + 0.15 * clamp01(c("transfer_score"))) / 0.6)
     raw = clamp01(0.625 * c("path_quality") + 0.375 * clamp01(0.35 * c("local_coverage") + 0.25 * c("transfer_coverage") + 0.25 * clamp01(c("local_potential")) + 0.15 * clamp01(c("transfer_potential"))))
@@ -462,7 +468,8 @@ def peer_innovation(roles: DataFrame, p: TopologyParams = TopologyParams()) -> D
 
 def final_rank(roles: DataFrame, innovation: DataFrame, anchors: DataFrame, omega: DataFrame, p: TopologyParams = TopologyParams()) -> DataFrame:
     """Anchor activation, promotion and demotion, final score and order."""
-    x = roles.join(innovation, KEY).join(anchors.select(*KEY, "strength", "contacted"), KEY).join(omega.select("query_id", "omega", "regime"), "query_id")
+    x = roles.join(innovation, KEY).join(anchors.select(*KEY, "strength", "contacted"), KEY).join(omega.select("query_id", "omega", "regime"), "query_id", "left")
+    x = x.withColumn("omega", F.coalesce("omega", F.lit(EMPTY_OMEGA))).withColumn("regime", F.coalesce("regime", regime(F.lit(EMPTY_OMEGA))))
     stats = x.groupBy("query_id").agg(
         clamp01(F.greatest(F.lit(p.anchor_floor), F.avg("strength") + p.anchor_z * F.stddev_pop("strength"))).alias("threshold"),
     )

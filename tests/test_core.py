@@ -69,6 +69,8 @@ def test_matching_rounds_use_every_call_once(spark):
 
     got = J.interval_match_rounds(frame([(1, 0), (2, 10)]), frame([(11, 12), (12, 13), (13, 400)]), ["u"], 300, 10).collect()
     assert {(r["event_id"], r["call_id"]) for r in got} == {(11, 2), (12, 1)}
+    ordered = J.interval_match_in_order(frame([(1, 0), (2, 10), (3, 401), (4, 700)]), frame([(12, 13), (11, 12), (13, 400), (14, 401)]), ["u"], 300, 10).collect()
+    assert {(r["event_id"], r["call_id"]) for r in ordered} == {(11, 2), (12, 1), (13, 3)}
 
 
 def test_cumulative_domain(spark):

@@ -186,3 +186,20 @@ def test_parameter_bounds():
         SelectionParams(k=0).check()
     assert sum(SpikeParams().hop_weights()) == pytest.approx(1.0)
     assert F is not None
+
+
+def test_queries_without_a_field_stay(spark):
+    from tagloom.plans import rank_topology as R
+
+    cands = spark.createDataFrame([(1, 10), (2, 10)], "query_id bigint, chunk_id bigint")
+    chunks = spark.createDataFrame([(10, 5, [1.0, 0.0])], "chunk_id bigint, file_id bigint, vector array<double>")
+    full = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id bigint, vector array<double>")
+    local = full.filter("query_id = 1")
+    got = {r["query_id"]: (r["query_score"], r["local_score"]) for r in R.candidate_cosines(cands, {"query_knn": full, "local_knn": local}, chunks).collect()}
+    assert got == {1: (1.0, 1.0), 2: (0.0, 0.0)}
+    roles = spark.createDataFrame([(q, 10, 1, 0.5, 0.4, "direct_answer") for q in (1, 2)], "query_id bigint, chunk_id bigint, union_rank int, union_score double, pure_score double, role string")
+    bonus = spark.createDataFrame([(1, 10, 0.1), (2, 10, 0.1)], "query_id bigint, chunk_id bigint, innovation_bonus double")
+    anchors = spark.createDataFrame([(1, 10, 0.0, 0), (2, 10, 0.0, 0)], "query_id bigint, chunk_id bigint, strength double, contacted int")
+    omega = spark.createDataFrame([(1, 0.5, "rich")], "query_id bigint, omega double, regime string")
+    ranked = {r["query_id"]: r for r in R.final_rank(roles, bonus, anchors, omega).collect()}
+    assert set(ranked) == {1, 2} and abs(ranked[2]["topology_bonus"] - 0.001) < 1e-12 and ranked[2]["regime"]
