@@ -218,7 +218,8 @@ def _resolve(runs: DataFrame, frequent: list[int]) -> DataFrame:
     return runs.repartition("deal").mapInArrow(resolve, RESOLVED)
 
 
-PIECES = "deal bigint, doc_id bigint, start bigint, data binary"
+# Rows without data are windows of frequent anchors; a negative size marks a span that certainly repeats.
+PIECES = "deal bigint, doc_id bigint, start bigint, size bigint, data binary"
 
 
 def _pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -243,20 +244,38 @@ def _pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     else:
                         windows.append((doc, a["start"], piece))
                 if sum(len(w[2]) for w in windows[-64:]) > BLOCK_BYTES or len(windows) > 4096:
-                    yield from _window_rows(windows)
+                    yield _window_rows(windows)
                     windows = []
-            yield from _window_rows(windows)
-            yield _batch(PIECES, np.array(deal, np.int64), np.array(ids, np.int64), np.array(at, np.int64), data)
+            yield _window_rows(windows)
+            yield _batch(PIECES, np.array(deal, np.int64), np.array(ids, np.int64), np.array(at, np.int64), np.array([len(x) for x in data], np.int64), data)
 
     return joined.mapInArrow(pieces, PIECES)
 
 
-def _window_rows(windows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    for doc, start, piece in windows:
+def _window_rows(pieces: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """Windows by hash. Of equal windows here only the earliest is dealt out; the others repeat it and become spans."""
+    found = []
+    for doc, start, piece in pieces:
         for at in range(0, len(piece) - LENGTH + 1, BLOCK_BYTES):
             part = piece[at : at + BLOCK_BYTES + LENGTH - 1]
             i = np.arange(len(part) - LENGTH + 1)
-            yield _batch(PIECES, _hash(_sums(part), i, i + LENGTH), np.full(len(i), doc, np.int64), i + at + start, pa.nulls(len(i), pa.binary()))
+            found.append((_hash(_sums(part), i, i + LENGTH).view(np.int64), np.full(len(i), doc, np.int64), i + at + start))
+    if not found:
+        return _batch(PIECES, *[np.empty(0, np.int64)] * 4, [])
+    deal, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((start, doc, deal))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = deal[order][1:] != deal[order][:-1]
+    alone, again = order[first], np.sort(order[~first])
+    again = again[np.lexsort((start[again], doc[again]))]
+    new = np.ones(len(again), dtype=bool)
+    new[1:] = (doc[again][1:] != doc[again][:-1]) | (start[again][1:] > start[again][:-1] + LENGTH)
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(again)) - 1
+    span = start[again[last]] + LENGTH - start[again[begin]] if len(again) else np.empty(0, np.int64)
+    size = np.concatenate([np.full(len(alone), LENGTH), -span])
+    rows = np.concatenate([alone, again[begin]])
+    return _batch(PIECES, deal[rows], doc[rows], start[rows], size, pa.nulls(len(rows), pa.binary()))
 
 
 def suffix_ranks(text: np.ndarray, left: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -375,20 +394,22 @@ def _scan(pieces: DataFrame) -> DataFrame:
         if not collected:
             return
         rows = pa.Table.from_batches(collected)
-        deal, doc, start = (rows.column(i).to_numpy() for i in range(3))
-        is_window = rows.column(3).is_null().to_numpy()
-        w = np.flatnonzero(is_window)
+        deal, doc, start, size = (rows.column(i).to_numpy() for i in range(4))
+        no_data = rows.column(4).is_null().to_numpy()
+        sure = np.flatnonzero(size < 0)
+        yield _batch(REPEATS, doc[sure], start[sure], -size[sure], *[pa.nulls(len(sure), pa.int64())] * 2)
+        w = np.flatnonzero(no_data & (size > 0))
         w = w[np.lexsort((start[w], doc[w], deal[w]))]
         new = np.ones(len(w), dtype=bool)
         new[1:] = deal[w][1:] != deal[w][:-1]
         first = w[np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))] if len(w) else w
         again = ~new
         yield _batch(REPEATS, doc[w][again], start[w][again], np.full(again.sum(), LENGTH), doc[first][again], start[first][again])
-        f = np.flatnonzero(~is_window)
+        f = np.flatnonzero(~no_data)
         if not len(f):
             return
         f = f[np.lexsort((start[f], doc[f]))]
-        data = rows.column(3).take(pa.array(f)).to_pylist()
+        data = rows.column(4).take(pa.array(f)).to_pylist()
         for part in batches_of(deal[f], np.array([len(x) for x in data])):
             part = np.sort(part)
             place, size, earlier = maximal_repeats([data[i] for i in part.tolist()])
@@ -402,7 +423,8 @@ def _scan(pieces: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(spans, repeats) of docs (doc_id, text) with different ids: doc_id, start, size of what also starts earlier, and the
-    maximal repeats found between different runs with an earlier occurrence of each."""
+    maximal repeats found between different runs with an earlier occurrence of each (null where repeats of frequent anchors
+    were joined into a longer span)."""
     n_docs = docs.count()
     frequent = _frequent_anchors(docs, n_docs)
     resolved = cut_lineage(_resolve(_runs(docs, frequent), frequent), "runs")
