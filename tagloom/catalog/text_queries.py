@@ -10,7 +10,7 @@ from tagloom.functions.columns import n64, r6
 from tagloom.session import staged
 from tagloom.sources import tables as T
 
-DIM = 256
+DIM = 3072
 
 part(
     "note_words",
