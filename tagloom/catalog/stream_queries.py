@@ -109,12 +109,22 @@ def _(spark, d):
     return turn_segments(spark, d)[1].select("session_id", "turn", n64(F.col("segment"), "segment"))
 
 
+part(
+    "turns_slots",
+    """SELECT key, slot, w / sqrt(sum(w * w) OVER (PARTITION BY key)) AS weight FROM turns_raw
+       UNION ALL SELECT key, 0, 1.0e0 FROM turns_src WHERE text IS NOT NULL AND key NOT IN (SELECT key FROM turns_raw)""",
+    ("turns_src", "turns_raw"),
+)
+
+
 @query(
     "segment_merge",
     """SELECT session_id, chunk_id, round(max(s * pow(0.75e0, age)), 6) AS score FROM (SELECT g.session_id, h.doc_id AS chunk_id, h.s, max(g.segment) OVER (PARTITION BY g.session_id) - g.segment AS age FROM segments g
-         JOIN (SELECT key, doc_id, s FROM (SELECT t.key, d.doc_id, round(list_inner_product(t.v, d.v) / (sqrt(list_inner_product(t.v, t.v)) * sqrt(list_inner_product(d.v, d.v))), 9) AS s, row_number() OVER (PARTITION BY t.key ORDER BY round(list_inner_product(t.v, d.v) / (sqrt(list_inner_product(t.v, t.v)) * sqrt(list_inner_product(d.v, d.v))), 9) DESC, d.doc_id) AS rn FROM turns_vec t CROSS JOIN doc_vec d) WHERE rn <= 5) h
+         JOIN (SELECT key, doc_id, s FROM (SELECT key, doc_id, s, row_number() OVER (PARTITION BY key ORDER BY s DESC, doc_id) AS rn FROM (
+             SELECT k.key, d.doc_id, round(coalesce(x.s, 0), 9) AS s FROM (SELECT DISTINCT key FROM turns_slots) k CROSS JOIN documents d LEFT JOIN (
+               SELECT t.key, e.doc_id, sum(t.weight * e.weight) AS s FROM turns_slots t JOIN doc_slots e USING (slot) GROUP BY 1, 2) x ON x.key = k.key AND x.doc_id = d.doc_id)) WHERE rn <= 5) h
            ON h.key = g.session_id * 1000 + g.turn) WHERE age < 3 GROUP BY 1, 2""",
-    ("segments", "turns_vec", "doc_vec"),
+    ("segments", "turns_slots", "doc_slots"),
 )
 def _(spark, d):
     v, seg = turn_segments(spark, d)
