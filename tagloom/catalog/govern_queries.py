@@ -388,12 +388,12 @@ def _(spark, d):
 
 @query(
     "vocabulary",
-    "SELECT bucket, tag_id, files, hub, rk::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY files DESC, tag_id) AS rk FROM (SELECT *, files >= 3 AND files >= total / 3.0 AS hub FROM (SELECT * FROM type_counts UNION ALL SELECT * FROM brand_counts))) WHERE rk <= 20",
+    "SELECT bucket, tag_id, files, hub, rk::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY files DESC, tag_id) AS rk FROM (SELECT *, files >= 3 AND files >= total / 3.0 AS hub FROM (SELECT * FROM type_counts UNION ALL SELECT * FROM brand_counts))) WHERE rk <= 30",
     ("type_counts", "brand_counts"),
 )
 def _(spark, d):
     counts = L.hub_columns(L.bucket_tag_counts(T.note_files(spark, d), type_edges(spark, d)).unionByName(brand_counts(spark, d)))
-    return top_n(counts, ["bucket"], [F.desc("files"), F.asc("tag_id")], 20).select("bucket", "tag_id", "files", F.col("hub_by_count").alias("hub"), "rank")
+    return top_n(counts, ["bucket"], [F.desc("files"), F.asc("tag_id")], 30).select("bucket", "tag_id", "files", F.col("hub_by_count").alias("hub"), "rank")
 
 
 @query(
