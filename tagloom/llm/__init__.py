@@ -1,4 +1 @@
-"""Operators for preparing training text, with their queries; nothing else in the library imports this package."""
-
-from tagloom.llm import bpe, chat, decontaminate, host_rules, minhash, repeats, rule_ensemble, secrets, toxicity, warc  # noqa: F401
-from tagloom.llm.registry import ORACLES, QUERIES  # noqa: F401
+"""Operators for preparing training text; nothing else in the library imports this package."""

@@ -32,7 +32,7 @@ from tagloom.session import broadcast_if_fits, cut_lineage
 
 WINDOW, LITERALS, PERCENT = 5, 3, 80
 BLOCK_WINDOWS = 2_000_000
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 TOKENS = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 # Unit words, lower case.
 UNITS = frozenset(

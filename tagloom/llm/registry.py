@@ -20,5 +20,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Rows of an Arrow batch: texts are long, and a task holds a few batches at a time.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -36,7 +36,7 @@ NEAR = 5
 TREES, DEPTH, SEED = 20, 3, 7
 # A calibrated step function ties many scores; this share of the tree score keeps their order.
 TREE_SHARE = 0.02
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 # Second-person words of the four languages, and letters that digits and signs stand for.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti tus usted ustedes vosotros".split())
 DISGUISES = str.maketrans("013457@$!", "oieastasi")
