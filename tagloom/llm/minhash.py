@@ -33,7 +33,7 @@ SHINGLE = 5
 PERCENT = 85
 SLOTS = 1 << 18
 BANDS, ROWS = 24, 5
-WORD_CACHE = 300_000
+WORD_CACHE = 100_000
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -146,17 +146,18 @@ def _missed_pairs(bands: DataFrame, leaders: DataFrame, labels: DataFrame, sets:
     members = bands.join(leaders, "band").filter("doc_id <> leader").select("band", "doc_id")
     labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     labelled = cut_lineage(labelled, "members")
-    open_bands = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
+    # Written tables on the unique side of a join leave the side with hot keys free to be split.
+    open_bands = cut_lineage(labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band"), "bands")
     active = labelled.join(open_bands, "band").select("doc_id", "component").distinct()
     rows = cut_lineage(sets.join(active, "doc_id").select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
-    frequency = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"))
+    frequency = cut_lineage(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs")), "frequency")
     ordered = rows.join(frequency, "shingle").groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("docs", "shingle"))).alias("order"))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = ordered.select("doc_id", "component", "n", F.posexplode(F.slice("order", 1, length.cast("int"))).alias("at", "s")).filter("s.docs > 1")
     prefix = cut_lineage(prefix.select("doc_id", "component", (F.col("n") - F.col("at")).alias("left"), "n", F.col("s.shingle").alias("shingle")), "prefixes")
     shares = prefix.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("docs"))
     largest = shares.groupBy("shingle").agg(F.max(F.struct("docs", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
-    largest = largest.filter("components > 1").select("shingle", F.col("top.component").alias("main"))
+    largest = cut_lineage(largest.filter("components > 1").select("shingle", F.col("top.component").alias("main")), "largest")
     minority = prefix.join(largest, "shingle").filter("component <> main").drop("main")
     minority = cut_lineage(minority.select("shingle", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("left").alias("lb"), F.col("n").alias("nb")), "minority")
     need = (F.col("n") + F.col("nb")) * percent
