@@ -32,7 +32,7 @@ DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 BYTE_CHARS = [chr(0x100 + b) for b in range(256)]
 # Matches longer than this are rarely seen twice; the cache starts anew when it is full.
 CACHED_LENGTH = 48
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 BLOCK_CHARS = 2_000_000
 
 
@@ -82,14 +82,13 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary. The packed ids of a match are kept, as most matches recur."""
+    """Encoder of one vocabulary. The packed ids of a match are kept, as most matches recur."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         # White space is the Unicode property, also where a Python engine adds control characters to \s.
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.by_piece = np.array(sorted(ranks.values()), dtype="<u4")
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.cache: dict[str, bytes] = {}
 
@@ -131,6 +130,13 @@ class Codec:
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
+
+class Decoder:
+    """Bytes of ids; needs neither the model nor what it keeps."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = {rank: token for token, rank in ranks.items()}
+
     def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
         """(bytes of all lists one after another, offsets of the lists)."""
         data = [b"".join(map(self.tokens.__getitem__, ids[a:b].tolist())) for a, b in pairwise(offsets.tolist())]
@@ -161,6 +167,11 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
+@lru_cache(maxsize=4)
+def decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
+
+
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values, offsets) of an array of integer lists; null lists are empty."""
     lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
@@ -183,12 +194,12 @@ def encode(text: Column | str, path: str, pattern: str = public_tokenizers.PATTE
     return ids.asNondeterministic()(text)
 
 
-def decode(ids: Column | str, path: str, pattern: str = public_tokenizers.PATTERN) -> Column:
+def decode(ids: Column | str, path: str) -> Column:
     """Bytes of the text the ids stand for; an id outside the vocabulary fails, a null list gives no bytes."""
 
     @F.arrow_udf("binary")
     def data(lists: pa.Array) -> pa.Array:
-        return _binary(*codec(path, pattern).decode_all(*_flat(lists)))
+        return _binary(*decoder(path).decode_all(*_flat(lists)))
 
     return data(ids)
 
