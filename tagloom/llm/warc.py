@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.registry import query, table
-from tagloom.session import new_stage_path
+from tagloom.session import cut_lineage, new_stage_path
 
 RECORDS_PER_FILE = 10_000
 EPOCH = "1970-01-01T00:00:00Z"
@@ -139,6 +139,8 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, min_bytes: i
     originals = responses.groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("o")).select(
         "payload_digest", F.col("o.record_id").alias("original")
     )
+    # Written, so that the side with a hot digest can be split in the join.
+    originals = cut_lineage(originals, "warc-originals")
     decided = headers.join(originals, "payload_digest", "left").select(
         "record_id",
         F.when(F.col("original") != F.col("record_id"), F.col("original")).otherwise(F.col("refers_to_record")).alias("refers_to"),
