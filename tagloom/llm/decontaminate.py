@@ -2,9 +2,9 @@
 
 Numbers, units after a number, and capitalised words inside a sentence become typed placeholders, so a question asked
 again with other values keeps its template. Windows of five tokens are joined by hash. A pair of document and item counts
-the item's windows found on each diagonal (document position minus item position) on which the placeholder values of both
-sides map one to one; it is reported if they are at least 80 % of the item's windows. `same_values` tells a verbatim copy
-from a re-parameterised one.
+the item's windows found on each diagonal (document position minus item position): those with equal values, and with them
+the windows of the largest assignment that gives each value of the item one value of the document, its own where a window
+with equal values holds it. It is reported if they are at least 80 % of the item's windows. `same_values` is true if every window found is also found with equal values.
 
 An item needs one of its rarest windows (a fifth, and one more) in a document to reach 80 %, so only these make candidate
 pairs; windows many items share do not multiply. Document windows are filtered by the benchmark's hashes, which reach the
@@ -20,6 +20,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import product
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ from tagloom.session import broadcast_if_fits, cut_lineage
 WINDOW, LITERALS, PERCENT = 5, 3, 80
 BLOCK_WINDOWS = 2_000_000
 CACHE_ENTRIES = 100_000
+MAX_TABLE = 100_000
 TOKENS = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 # Unit words, lower case.
 UNITS = frozenset(
@@ -140,6 +143,74 @@ def text_key(text):
     return key(text)
 
 
+def largest_assignment(windows: list[tuple[int, list[tuple[int, int]]]]) -> list[int]:
+    """Places of the windows (place, slots (item value, document value)) that count on one diagonal.
+
+    Windows whose values are all equal count always, and their values stand for themselves. To them come the windows that
+    agree with one function from item values to document values, chosen so that they are as many as possible.
+    Values are settled one after another (variable elimination), which is exact; only where a table of more than
+    MAX_TABLE choices would be needed, the choice is improved value by value instead and may be less than the largest.
+    """
+    found = [at for at, slots in windows if all(a == x for a, x in slots)]
+    kept = {a for _, slots in windows if all(a == x for a, x in slots) for a, _ in slots}
+    rest = [(at, dict(slots)) for at, slots in windows if any(a != x for a, x in slots) and len({a for a, _ in slots}) == len(set(slots))]
+    rest = [(at, slots) for at, slots in rest if all(a == x or a not in kept for a, x in slots.items())]
+    options: dict[int, set[int]] = {}
+    for _, slots in rest:
+        for a, x in slots.items():
+            options.setdefault(a, set()).add(x)
+    choice = {a: min(xs) for a, xs in options.items() if len(xs) == 1}
+    open_values = {a: sorted(xs) for a, xs in options.items() if len(xs) > 1}
+    # Each factor: values it depends on, and what a choice for them is worth.
+    counts: dict[tuple, dict[tuple, int]] = {}
+    for _, slots in rest:
+        scope = tuple(sorted(a for a in slots if a in open_values))
+        table = counts.setdefault(scope, {})
+        key = tuple(slots[a] for a in scope)
+        table[key] = table.get(key, 0) + 1
+    counts.pop((), None)
+    factors, settled, left = list(counts.items()), [], dict(open_values)
+    while left:
+        around = {a: sorted({b for scope, _ in factors if a in scope for b in scope} - {a}) for a in left}
+        cost = {a: prod(len(open_values[b]) for b in [a, *around[a]]) for a in left}
+        a = min(left, key=lambda v: (cost[v], v))
+        if cost[a] > MAX_TABLE:
+            break
+        mine, factors = [f for f in factors if a in f[0]], [f for f in factors if a not in f[0]]
+        worth, best = {}, {}
+        for key in product(*(open_values[b] for b in around[a])):
+            given = dict(zip(around[a], key, strict=True))
+            sums = [sum(t.get(tuple(x if b == a else given[b] for b in scope), 0) for scope, t in mine) for x in left[a]]
+            worth[key] = max(sums)
+            best[key] = left[a][sums.index(worth[key])]
+        if around[a]:
+            factors.append((tuple(around[a]), worth))
+        settled.append((a, around[a], best))
+        del left[a]
+    choice |= {a: max(xs, key=lambda x: (sum(s.get(a) == x for _, s in rest), -x)) for a, xs in left.items()}
+    gain, better = lambda a, x: sum(t.get(tuple(x if b == a else choice[b] for b in scope), 0) for scope, t in factors if a in scope), bool(left)
+    while better:
+        better = False
+        for a, xs in left.items():
+            x = max(xs, key=lambda x: gain(a, x))
+            if gain(a, x) > gain(a, choice[a]):
+                choice[a], better = x, True
+    for a, others, best in reversed(settled):
+        choice[a] = best[tuple(choice[b] for b in others)]
+    return sorted(found + [at for at, slots in rest if all(choice[a] == x for a, x in slots.items())])
+
+
+def consistent(windows):
+    """Places that count among the windows of a diagonal (item_at, slots)."""
+
+    @F.arrow_udf("array<bigint>")
+    def places(lines: pa.Array) -> pa.Array:
+        found = [largest_assignment([(w["item_at"], [(s["item_values"], s["doc_values"]) for s in w["slots"]]) for w in line]) for line in lines.to_pylist()]
+        return pa.array(found, pa.list_(pa.int64()))
+
+    return places(windows)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT
 ) -> DataFrame:
@@ -175,15 +246,17 @@ def contaminated(
         .select("x.doc_id", "x.text_key", "item", "n_windows", "item_at", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), F.arrays_zip("item_values", "doc_values").alias("v"))
     )
     slots = F.filter("v", lambda s: s["item_values"] != 0)
-    lines = aligned.groupBy(*document, "item", "n_windows", "diagonal").agg(
-        F.collect_set("item_at").alias("found"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots")
-    )
-    distinct = lambda name: F.size(F.array_distinct(F.transform("slots", lambda s: s[name])))
-    steady = lines.filter((distinct("item_values") == F.size("slots")) & (distinct("doc_values") == F.size("slots")))
-    pairs = steady.groupBy(*document, "item", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("bigint").alias("n_matched"),
-        F.min(F.forall("slots", lambda s: s["item_values"] == s["doc_values"])).alias("same_values"),
-    )
+    lines = aligned.groupBy(*document, "item", "n_windows", "diagonal").agg(F.collect_set(F.struct("item_at", slots.alias("slots"))).alias("w"))
+    lines = cut_lineage(lines.withColumn("slots", F.array_distinct(F.flatten("w.slots"))), "lines")
+    unlike = F.filter("slots", lambda s: s["item_values"] != s["doc_values"])
+    places = lambda w: F.transform(w, lambda x: x["item_at"])
+    verbatim = places(F.filter("w", lambda x: F.forall(x["slots"], lambda s: s["item_values"] == s["doc_values"])))
+    function = F.size(F.array_distinct("slots.item_values")) == F.size("slots")
+    whole = lines.filter(function).withColumn("found", places(F.col("w")))
+    parted = lines.filter(~function).withColumn("found", consistent(F.col("w")))
+    counted = whole.unionByName(parted).select(*document, "item", "n_windows", "found", F.when(F.size(unlike) == 0, F.col("found")).otherwise(verbatim).alias("verbatim"))
+    number = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name)))).cast("bigint")
+    pairs = counted.groupBy(*document, "item", "n_windows").agg(number("found").alias("n_matched"), (number("found") == number("verbatim")).alias("same_values"))
     leaks = pairs.filter(F.col("n_matched") * 100 >= F.col("n_windows") * percent)
     return leaks.join(known.select("item", "ids"), "item").select(*document, F.explode("ids").alias("item_id"), "n_windows", "n_matched", "same_values")
 
