@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Numbers, units after a number, and capitalised words inside a sentence become typed placeholders, so a question asked
-again with other values keeps its template. Windows of five tokens are joined by hash. A pair of document and item counts
+again with other values keeps its template. Capitalised words at the start of a sentence, number words, and units after
+those can be meant either way, so a window has a hash for each reading of them. Windows of five tokens are joined by hash. A pair of document and item counts
 the item's windows found on each diagonal (document position minus item position): those with equal values, and with them
 the windows of the largest assignment that gives each value of the item one value of the document, its own where a window
 with equal values holds it. It is reported if they are at least 80 % of the item's windows. `same_values` is true if every window found is also found with equal values.
@@ -43,6 +44,15 @@ UNITS = frozenset(
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars "
     "euro euros cent cents pound pounds kmh mph hz khz mhz ghz kb mb gb tb w kw kwh v a j n pa bar c f k".split()
 )
+# Number words, lower case, without those that are articles as well.
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty "
+    "thirty forty fifty sixty seventy eighty ninety hundred thousand million deux trois quatre cinq sept huit neuf dix onze douze treize quatorze "
+    "quinze seize vingt trente quarante cinquante soixante cent mille zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig "
+    "vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce "
+    "quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil".split()
+) - UNITS
+# NUMBER and UNIT together mark a number word.
 NUMBER, UNIT, CAPITAL, STOP = 1, 2, 4, 8
 # Codes of the placeholders: number, unit, name.
 PLACEHOLDERS = np.array([0, 0x1000000000000010, 0x2000000000000020, 0x3000000000000030], dtype=np.uint64)
@@ -54,7 +64,7 @@ class _TokenCodes(dict):
 
     def __missing__(self, tok: str) -> int:
         low = tok.lower()
-        marks = NUMBER * tok[0].isdigit() | UNIT * (low in UNITS) | CAPITAL * tok[0].isupper() | STOP * (tok in ".!?\n")
+        marks = NUMBER * (tok[0].isdigit() or low in NUMBER_WORDS) | UNIT * (low in UNITS or low in NUMBER_WORDS) | CAPITAL * tok[0].isupper() | STOP * (tok in ".!?\n")
         code = xxhash.xxh3_64_intdigest(low.encode()) & ~15 | marks
         if len(self) >= CACHE_ENTRIES:
             self.clear()
@@ -63,29 +73,71 @@ class _TokenCodes(dict):
         return code
 
 
-def template_windows(text: str | None, codes: _TokenCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, window hashes, placeholder values per window with 0 for literals) of the usable windows."""
+def _typed(text: str | None, codes: _TokenCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, kinds, second kinds) of the tokens but stops; a second kind is what a literal can be read as too."""
     tokens = TOKENS.findall(text or "")
     c = np.fromiter(map(codes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     marks = (c & np.uint64(15)).astype(np.uint8)
     stop = (marks & STOP) > 0
     first = np.concatenate([[True], stop[:-1]])[~stop] if len(c) else stop
     c, marks = c[~stop] & ~np.uint64(15), marks[~stop]
-    number = (marks & NUMBER) > 0
-    unit = ((marks & UNIT) > 0) & np.concatenate([[False], number[:-1]]) if len(c) else number
-    kind = np.where(number, 1, np.where(unit, 2, np.where(((marks & CAPITAL) > 0) & ~first, 3, 0)))
+    after = lambda sign: np.concatenate([[False], sign[:-1]]) if len(c) else sign
+    number, unit, word = ((marks & (NUMBER | UNIT)) == m for m in (NUMBER, UNIT, NUMBER | UNIT))
+    capital = (marks & CAPITAL) > 0
+    kind = np.where(number, 1, np.where(unit & after(number), 2, np.where(capital & ~first, 3, 0)))
+    second = np.where(word, 1, np.where(unit & after(word), 2, np.where(capital, 3, 0)))
+    return c, kind, np.where(kind == 0, second, 0)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * MIX[1]
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _first_reading(c: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes before mixing, placeholder values, number of literals) of all windows."""
     n = len(c) - WINDOW + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WINDOW), np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((0, WINDOW), np.uint64), np.empty(0, np.int64)
     view = np.lib.stride_tricks.sliding_window_view
     template = np.where(kind > 0, PLACEHOLDERS[kind], c)
     h = np.zeros(n, dtype=np.uint64)
     for k in range(WINDOW):
         h += template[k : k + n] * MIX[k]
-    h = (h ^ (h >> np.uint64(31))) * MIX[1]
-    at = np.flatnonzero(view(kind == 0, WINDOW).sum(axis=1) >= LITERALS)
-    values = view(np.where(kind > 0, c, np.uint64(0)), WINDOW)
-    return at, (h ^ (h >> np.uint64(32)))[at].view(np.int64), values[at].view(np.int64)
+    return np.arange(n), h, view(np.where(kind > 0, c, np.uint64(0)), WINDOW), view(kind == 0, WINDOW).sum(axis=1)
+
+
+def template_windows(text: str | None, codes: _TokenCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, window hashes, placeholder values per window with 0 for literals) of the usable windows, first readings."""
+    _, h, values, literals = _first_reading(*_typed(text, codes)[:2])
+    at = np.flatnonzero(literals >= LITERALS)
+    return at, _mixed(h[at]), values[at].view(np.int64)
+
+
+def readings(text: str | None, codes: _TokenCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """As `template_windows`, with a further row for each other reading of a window, and the number of positions."""
+    c, kind, second = _typed(text, codes)
+    _, h, values, literals = _first_reading(c, kind)
+    at = np.flatnonzero(literals >= LITERALS)
+    rows, sums, slots, n = [at], [h[at]], [values[at]], len(h)
+    double = np.flatnonzero(second)
+    if n and len(double):
+        shift = np.zeros(len(c), dtype=np.uint64)
+        shift[double] = PLACEHOLDERS[second[double]] - c[double]
+        for k in range(WINDOW):
+            p = double - k
+            p = p[(p >= 0) & (p < n)]
+            for l in range(k, WINDOW):
+                q = p[literals[p] > LITERALS] if l == k else p[(second[p + l] > 0) & (literals[p] > LITERALS + 1)]
+                if len(q):
+                    own, total = values[q], h[q]
+                    for j in {k, l}:
+                        total = total + shift[q + j] * MIX[j]
+                        own[:, j] = c[q + j]
+                    rows.append(q)
+                    sums.append(total)
+                    slots.append(own)
+    return np.concatenate(rows), _mixed(np.concatenate(sums)), np.concatenate(slots).view(np.int64), len(at)
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -97,8 +149,8 @@ def _item_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
         codes = _TokenCodes()
         for batch in batches:
             for item, t in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                at, h, values = template_windows(t, codes)
-                n = pa.array([len(at)] * len(at), pa.int64())
+                at, h, values, positions = readings(t, codes)
+                n = pa.array([positions] * len(at), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([item] * len(at), pa.int64()), n, pa.array(at, pa.int64()), pa.array(h, pa.int64()), _lists(values)],
                     names=["item_id", "n_windows", "item_at", "hash", "item_values"],
@@ -117,7 +169,7 @@ def _document_hits(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 text = batch.column(1)[row].as_py()
-                at, h, values = template_windows(text, codes)
+                at, h, values, _ = readings(text, codes)
                 maybe = np.flatnonzero(rough[h & (len(rough) - 1)])
                 found = maybe[hashes[np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)] == h[maybe]]
                 if len(found):
@@ -231,9 +283,11 @@ def contaminated(
     known = cut_lineage(content.groupBy("w", "n_windows").agg(F.collect_list("item_id").alias("ids")).withColumn("item", F.monotonically_increasing_id()), "items")
     windows = cut_lineage(known.select("item", "n_windows", F.explode("w").alias("w")).select("item", "n_windows", "w.*"), "items")
     spread = windows.groupBy("hash").agg(F.count_distinct("item").alias("items"))
-    ranked = windows.join(spread, "hash").groupBy("item", "n_windows").agg(F.sort_array(F.collect_list(F.struct("items", "hash"))).alias("order"))
+    # A position is found by any of its readings, so all of them are keys.
+    positions = windows.join(spread, "hash").groupBy("item", "n_windows", "item_at").agg(F.sum("items").alias("items"), F.collect_set("hash").alias("hashes"))
+    ranked = positions.groupBy("item", "n_windows").agg(F.sort_array(F.collect_list(F.struct("items", "item_at", "hashes"))).alias("order"))
     prefix = F.slice("order", 1, (F.col("n_windows") - F.ceil(F.col("n_windows") * percent / 100) + 1).cast("int"))
-    keys = ranked.select("item", F.explode(prefix).alias("k")).select("item", F.col("k.hash").alias("hash")).distinct()
+    keys = ranked.select("item", F.explode(prefix).alias("k")).select("item", F.explode("k.hashes").alias("hash")).distinct()
     document = ["doc_id", "text_key"]
     candidates = hits.select(*document, "hash").distinct().join(broadcast_if_fits(keys), "hash").select(*document, "item").distinct()
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
@@ -246,7 +300,11 @@ def contaminated(
         .select("x.doc_id", "x.text_key", "item", "n_windows", "item_at", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), F.arrays_zip("item_values", "doc_values").alias("v"))
     )
     slots = F.filter("v", lambda s: s["item_values"] != 0)
-    lines = aligned.groupBy(*document, "item", "n_windows", "diagonal").agg(F.collect_set(F.struct("item_at", slots.alias("slots"))).alias("w"))
+    lines = aligned.groupBy(*document, "item", "n_windows", "diagonal").agg(
+        F.sort_array(F.collect_set(F.struct("item_at", F.size(slots).alias("size"), slots.alias("slots")))).alias("w")
+    )
+    # Of the readings of a window the one with the fewest slots asks for no more than the others.
+    lines = lines.withColumn("w", F.filter("w", lambda x, i: (i == 0) | (F.get("w", i - 1)["item_at"] != x["item_at"])))
     lines = cut_lineage(lines.withColumn("slots", F.array_distinct(F.flatten("w.slots"))), "lines")
     unlike = F.filter("slots", lambda s: s["item_values"] != s["doc_values"])
     places = lambda w: F.transform(w, lambda x: x["item_at"])
