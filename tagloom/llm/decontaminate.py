@@ -11,8 +11,8 @@ An item needs one of its rarest windows (a fifth, and one more) in a document to
 pairs; windows many items share do not multiply. Document windows are filtered by the benchmark's hashes, which reach the
 tasks in blocks of at most BLOCK_WINDOWS, one pass each.
 
-Windows with fewer than three literal tokens are not used; texts and items without a usable window, null ones included,
-match nothing. Repeated items are reported each; repeated documents are reported once per id and text. Empty tables give
+Windows with fewer than three literal tokens are not used. An item without a usable window is one window itself: its text must
+occur in the document, but for case and white space, from token to token. Null and blank texts and items match nothing. Repeated items are reported each; repeated documents are reported once per id and text. Empty tables give
 an empty result. Extra columns are not read.
 """
 
@@ -37,7 +37,11 @@ WINDOW, LITERALS, PERCENT = 5, 3, 80
 BLOCK_WINDOWS = 2_000_000
 CACHE_ENTRIES = 100_000
 MAX_TABLE = 100_000
-TOKENS = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
+# Scripts without spaces (Thai, Lao, Burmese, Khmer, Japanese, Chinese): each character is a token.
+SOLID = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TOKENS = re.compile(rf"\d+(?:[.,]\d+)*|[{SOLID}]|[^\W\d_{SOLID}]+|[.!?\n]")
+# Everything but white space, for items that are looked up whole.
+PIECES = re.compile(rf"[{SOLID}]|[^\W{SOLID}]+|[^\w\s]")
 # Unit words, lower case.
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz ml cl l liter liters litre litres "
@@ -185,6 +189,58 @@ def _document_hits(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
     return docs.mapInArrow(hits, "doc_id bigint, text_key string, doc_at bigint, hash bigint, doc_values array<bigint>")
 
 
+def _whole_items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(item_id, phrase) of the non-empty items without a usable window; the phrase is the item's pieces joined by spaces."""
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _TokenCodes()
+        for batch in batches:
+            rows = [(i, " ".join(PIECES.findall((t or "").lower()))) for i, t in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True) if not len(template_windows(t, codes)[0])]
+            rows = [(i, p) for i, p in rows if p]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.string())], names=["item_id", "phrase"])
+
+    return benchmark.select(F.col(item_id).cast("bigint"), text).mapInArrow(phrases, "item_id bigint, phrase string")
+
+
+def _phrase_hits(docs: DataFrame, phrases: list[str]) -> DataFrame:
+    """(doc_id, text_key, phrase) of the documents that hold a phrase, piece by piece."""
+    heads: dict[str, dict[int, set[str]]] = {}
+    for phrase in phrases:
+        pieces = phrase.split(" ")
+        heads.setdefault(pieces[0], {}).setdefault(len(pieces), set()).add(phrase)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pieces, found = PIECES.findall((text or "").lower()), set()
+                for i, piece in enumerate(pieces):
+                    for n, known in heads.get(piece, {}).items():
+                        phrase = " ".join(pieces[i : i + n])
+                        if phrase in known:
+                            found.add(phrase)
+                if found:
+                    key = xxhash.xxh3_128_hexdigest(text.encode())
+                    rows += [(doc, key, phrase) for phrase in sorted(found)]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "phrase"])
+
+    return docs.mapInArrow(hits, "doc_id bigint, text_key string, phrase string")
+
+
+def _whole_leaks(docs: DataFrame, benchmark: DataFrame, item_id: str, text: str) -> DataFrame | None:
+    """The pairs of documents and items without a usable window; nothing if there are no such items."""
+    items = cut_lineage(_whole_items(benchmark, item_id, text), "whole-items")
+    phrases = items.select("phrase").distinct()
+    blocks = -(-phrases.count() // BLOCK_WINDOWS)
+    if not blocks:
+        return None
+    parts = [_phrase_hits(docs, [r["phrase"] for r in phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b).collect()]) for b in range(blocks)]
+    found = cut_lineage(reduce(DataFrame.unionByName, parts).distinct(), "phrase-hits").join(broadcast_if_fits(items), "phrase")
+    one = F.lit(1).cast("bigint")
+    return found.select("doc_id", "text_key", "item_id", one.alias("n_windows"), one.alias("n_matched"), F.lit(True).alias("same_values"))
+
+
 def text_key(text):
     """Key of a text in the results of `contaminated`."""
 
@@ -316,7 +372,9 @@ def contaminated(
     number = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name)))).cast("bigint")
     pairs = counted.groupBy(*document, "item", "n_windows").agg(number("found").alias("n_matched"), (number("found") == number("verbatim")).alias("same_values"))
     leaks = pairs.filter(F.col("n_matched") * 100 >= F.col("n_windows") * percent)
-    return leaks.join(known.select("item", "ids"), "item").select(*document, F.explode("ids").alias("item_id"), "n_windows", "n_matched", "same_values")
+    leaks = leaks.join(known.select("item", "ids"), "item").select(*document, F.explode("ids").alias("item_id"), "n_windows", "n_matched", "same_values")
+    whole = _whole_leaks(narrow, benchmark, item_id, item_text)
+    return leaks if whole is None else leaks.unionByName(whole)
 
 
 def without(docs: DataFrame, leaks: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
