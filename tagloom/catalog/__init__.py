@@ -10,5 +10,6 @@ from tagloom.catalog import (  # noqa: F401
     retrieve_queries,
     stream_queries,
     text_queries,
+    write_queries,
 )
 from tagloom.catalog.base import QUERIES, sql_texts  # noqa: F401

@@ -31,6 +31,7 @@ def part(name: str, body: str, uses: tuple[str, ...] = ()) -> None:
 
 
 def compose(body: str, uses: tuple[str, ...]) -> str:
+    """The statement with the expressions it uses; a body that starts with a comma adds expressions, recursive ones too."""
     ordered: list[str] = []
 
     def visit(name: str) -> None:
@@ -45,7 +46,8 @@ def compose(body: str, uses: tuple[str, ...]) -> str:
     if not ordered:
         return body.strip()
     ctes = ",\n".join(f"{name} AS MATERIALIZED ({_PARTS[name][1].strip()})" for name in ordered)
-    return f"WITH {ctes}\n{body.strip()}"
+    recursive = "RECURSIVE " if body.lstrip().startswith(",") else ""
+    return f"WITH {recursive}{ctes}\n{body.strip()}"
 
 
 def sql_texts() -> dict[str, str]:
