@@ -110,6 +110,8 @@ def pair_grid(
     `queries` (query_id, vector, grp?, stamp?) and `corpus` (item_id, ...) meet only inside a group.
     """
     spark = corpus.sparkSession
+    # Own names for one side, as both may come from one table.
+    queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))
     grouped = "grp" in corpus.columns
     if not grouped:
         queries, corpus = queries.withColumn("grp", F.lit("")), corpus.withColumn("grp", F.lit(""))
@@ -121,17 +123,23 @@ def pair_grid(
         if not picked:
             return spark.createDataFrame([], schema)
         pivots = spark.sparkContext.broadcast(_unit([r["vector"] for r in picked]))
+        # A group that fits one block meets in a single cell; pivots would only cut it into crumbs.
+        small = corpus.groupBy("grp").agg((F.count(F.lit(1)) <= BLOCK_ROWS).alias("small"))
+        corpus, queries = corpus.join(small, "grp"), queries.join(small, "grp")
         extra = T.StructType(corpus.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
 
         def assign(batches):
             for pdf in batches:
-                if len(pdf):
-                    cos = np.clip(_unit(pdf["vector"]) @ pivots.value.T, -1, 1)
-                    cell = cos.argmax(axis=1)
-                    yield pdf.assign(cell=cell.astype("int32"), angle=np.arccos(cos[np.arange(len(cell)), cell]))
+                whole = pdf["small"].to_numpy(dtype=bool)
+                cell, angle = np.full(len(pdf), -1), np.zeros(len(pdf))
+                if (~whole).any():
+                    cos = np.clip(_unit(pdf["vector"][~whole]) @ pivots.value.T, -1, 1)
+                    cell[~whole] = cos.argmax(axis=1)
+                    angle[~whole] = np.arccos(cos.max(axis=1))
+                yield pdf.assign(cell=cell.astype("int32"), angle=angle)
 
         celled = corpus.mapInPandas(assign, extra)
-        radius_rows = celled.groupBy("cell").agg(F.max("angle").alias("r")).collect()
+        radius_rows = celled.filter("cell >= 0").groupBy("cell").agg(F.max("angle").alias("r")).collect()
         radius = np.full(len(picked), -10.0)
         for r in radius_rows:
             radius[r["cell"]] = r["r"]
@@ -140,13 +148,16 @@ def pair_grid(
 
         def visit(batches):
             for pdf in batches:
-                if len(pdf):
-                    angle = np.arccos(np.clip(_unit(pdf["vector"]) @ pivots.value.T, -1, 1))
+                whole = pdf["small"].to_numpy(dtype=bool)
+                yield pdf[whole].assign(cell=np.int32(-1))
+                if (~whole).any():
+                    wide = pdf[~whole]
+                    angle = np.arccos(np.clip(_unit(wide["vector"]) @ pivots.value.T, -1, 1))
                     row, cell = np.nonzero(angle - radius[None, :] <= reach)
-                    yield pdf.iloc[row].assign(cell=cell.astype("int32"))
+                    yield wide.iloc[row].assign(cell=cell.astype("int32"))
 
-        visits = queries.mapInPandas(visit, more)
-        celled = celled.drop("angle")
+        visits = queries.mapInPandas(visit, more).drop("small")
+        celled = celled.drop("angle", "small")
     corpus_blocks = celled.groupBy("grp", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("nc"))
     query_blocks = queries.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("nq"))
     plan = corpus_blocks.join(query_blocks, "grp")
@@ -217,22 +228,29 @@ def near_links(items: DataFrame, min_cos: float, group: str | None = None) -> Da
 
     def forest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         left, right = _side(a, "query_id"), _side(b, "item_id")
-        s = _masked_scores(left, right, min_cos, False, True)
-        parent: dict = {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
+        near = np.isfinite(_masked_scores(left, right, min_cos, False, True))
+        ids, place = np.unique(np.concatenate([left["id"], right["id"]]), return_inverse=True)
+        rows, columns = place[: len(left["id"])], place[len(left["id"]) :]
+        label, out = np.arange(len(ids)), []
+
+        def root(x: int) -> int:
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
             return x
 
-        out = []
-        for i, j in zip(*np.nonzero(np.isfinite(s))):
-            x, y = int(left["id"][i]), int(right["id"][j])
-            rx, ry = root(x), root(y)
-            if rx != ry:
-                parent[rx] = ry
-                out.append((min(x, y), max(x, y)))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        while True:
+            # Every row names one link out of its component; the components at least halve.
+            leaving = near & (label[rows][:, None] != label[columns][None, :])
+            some = np.flatnonzero(leaving.any(axis=1))
+            if not len(some):
+                return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            for i, j in zip(rows[some], columns[leaving[some].argmax(axis=1)]):
+                x, y = root(i), root(j)
+                if x != y:
+                    label[max(x, y)] = min(x, y)
+                    out.append((ids[min(i, j)], ids[max(i, j)]))
+            while (label != label[label]).any():
+                label = label[label]
 
     return pair_grid(q, c, forest, "a bigint, b bigint", min_cos).distinct()
