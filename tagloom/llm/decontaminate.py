@@ -19,9 +19,9 @@ an empty result. Extra columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import product
+from itertools import chain, product
 from math import prod
 
 import numpy as np
@@ -35,7 +35,8 @@ from tagloom.session import broadcast_if_fits, cut_lineage
 
 WINDOW, LITERALS, PERCENT = 5, 3, 80
 BLOCK_WINDOWS = 2_000_000
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 400_000
+RUN_TOKENS = 100_000
 MAX_TABLE = 100_000
 # Scripts without spaces (Thai, Lao, Burmese, Khmer, Japanese, Chinese): each character is a token.
 SOLID = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -77,20 +78,25 @@ class _TokenCodes(dict):
         return code
 
 
-def _typed(text: str | None, codes: _TokenCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, kinds, second kinds) of the tokens but stops; a second kind is what a literal can be read as too."""
-    tokens = TOKENS.findall(text or "")
-    c = np.fromiter(map(codes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+def _typed(token_lists: list[list[str]], codes: _TokenCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, kinds, second kinds, text number) of the tokens but stops of several texts in a row; a second kind is what a
+    literal can be read as too."""
+    sizes = [len(t) for t in token_lists]
+    c = np.fromiter(map(codes.__getitem__, chain.from_iterable(token_lists)), dtype=np.uint64, count=sum(sizes))
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    starts = lambda: np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.empty(0, bool)
+    shifted = lambda sign: np.concatenate([[False], sign[:-1]]) if len(sign) else sign
     marks = (c & np.uint64(15)).astype(np.uint8)
     stop = (marks & STOP) > 0
-    first = np.concatenate([[True], stop[:-1]])[~stop] if len(c) else stop
-    c, marks = c[~stop] & ~np.uint64(15), marks[~stop]
-    after = lambda sign: np.concatenate([[False], sign[:-1]]) if len(c) else sign
+    first = (shifted(stop) | starts())[~stop]
+    c, marks, of = c[~stop] & ~np.uint64(15), marks[~stop], of[~stop]
+    inside = ~starts()
+    after = lambda sign: shifted(sign) & inside
     number, unit, word = ((marks & (NUMBER | UNIT)) == m for m in (NUMBER, UNIT, NUMBER | UNIT))
     capital = (marks & CAPITAL) > 0
     kind = np.where(number, 1, np.where(unit & after(number), 2, np.where(capital & ~first, 3, 0)))
     second = np.where(word, 1, np.where(unit & after(word), 2, np.where(capital, 3, 0)))
-    return c, kind, np.where(kind == 0, second, 0)
+    return c, kind, np.where(kind == 0, second, 0), of
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -98,50 +104,72 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def _first_reading(c: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes before mixing, placeholder values, number of literals) of all windows."""
+def _readings(c: np.ndarray, kind: np.ndarray, second: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(k, l, positions, hashes) of the usable windows read with tokens k and l of the window in their second kind; -1: first kinds."""
     n = len(c) - WINDOW + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((0, WINDOW), np.uint64), np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view
+        return
     template = np.where(kind > 0, PLACEHOLDERS[kind], c)
-    h = np.zeros(n, dtype=np.uint64)
+    literal = (kind == 0).astype(np.int8)
+    h, literals = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int8)
     for k in range(WINDOW):
         h += template[k : k + n] * MIX[k]
-    return np.arange(n), h, view(np.where(kind > 0, c, np.uint64(0)), WINDOW), view(kind == 0, WINDOW).sum(axis=1)
+        literals += literal[k : k + n]
+    literals[of[:n] != of[WINDOW - 1 :]] = 0
+    at = np.flatnonzero(literals >= LITERALS)
+    yield -1, -1, at, _mixed(h[at])
+    double = np.flatnonzero(second)
+    shift = np.zeros(len(c), dtype=np.uint64)
+    shift[double] = PLACEHOLDERS[second[double]] - c[double]
+    for k in range(WINDOW):
+        p = double - k
+        p = p[(p >= 0) & (p < n)]
+        some = literals[p]
+        for l in range(k, WINDOW):
+            q = p[some > LITERALS] if l == k else p[(second[p + l] > 0) & (some > LITERALS + 1)]
+            if len(q):
+                total = h[q]
+                for j in {k, l}:
+                    total = total + shift[q + j] * MIX[j]
+                yield k, l, q, _mixed(total)
+
+
+def _slots(c: np.ndarray, kind: np.ndarray, at: np.ndarray, k: np.ndarray, l: np.ndarray) -> np.ndarray:
+    """Placeholder values of windows in a reading, 0 for literals."""
+    around = at[:, None] + np.arange(WINDOW)
+    typed = (kind[around] > 0) | (np.arange(WINDOW) == k[:, None]) | (np.arange(WINDOW) == l[:, None])
+    return np.where(typed, c[around], np.uint64(0)).view(np.int64)
+
+
+def _windows(typed: tuple, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, position in the text, hash, placeholder values) of every reading of the usable windows, or of the
+    wanted hashes among them; values are only laid out for these."""
+    c, kind, second, of = typed
+    found = []
+    for k, l, at, h in _readings(c, kind, second, of):
+        if wanted is not None:
+            some = wanted(h)
+            at, h = at[some], h[some]
+        found.append((at, h, np.full(len(at), k), np.full(len(at), l)))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WINDOW), np.int64)
+    at, h, k, l = (np.concatenate(x) for x in zip(*found, strict=True))
+    start = np.searchsorted(of, np.arange(of[-1] + 1))
+    return of[at], at - start[of[at]], h, _slots(c, kind, at, k, l)
 
 
 def template_windows(text: str | None, codes: _TokenCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions, window hashes, placeholder values per window with 0 for literals) of the usable windows, first readings."""
-    _, h, values, literals = _first_reading(*_typed(text, codes)[:2])
-    at = np.flatnonzero(literals >= LITERALS)
-    return at, _mixed(h[at]), values[at].view(np.int64)
+    c, kind, second, of = _typed([TOKENS.findall(text or "")], codes)
+    _, at, h, values = _windows((c, kind, np.zeros_like(second), of))
+    return at, h, values
 
 
 def readings(text: str | None, codes: _TokenCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """As `template_windows`, with a further row for each other reading of a window, and the number of positions."""
-    c, kind, second = _typed(text, codes)
-    _, h, values, literals = _first_reading(c, kind)
-    at = np.flatnonzero(literals >= LITERALS)
-    rows, sums, slots, n = [at], [h[at]], [values[at]], len(h)
-    double = np.flatnonzero(second)
-    if n and len(double):
-        shift = np.zeros(len(c), dtype=np.uint64)
-        shift[double] = PLACEHOLDERS[second[double]] - c[double]
-        for k in range(WINDOW):
-            p = double - k
-            p = p[(p >= 0) & (p < n)]
-            for l in range(k, WINDOW):
-                q = p[literals[p] > LITERALS] if l == k else p[(second[p + l] > 0) & (literals[p] > LITERALS + 1)]
-                if len(q):
-                    own, total = values[q], h[q]
-                    for j in {k, l}:
-                        total = total + shift[q + j] * MIX[j]
-                        own[:, j] = c[q + j]
-                    rows.append(q)
-                    sums.append(total)
-                    slots.append(own)
-    return np.concatenate(rows), _mixed(np.concatenate(sums)), np.concatenate(slots).view(np.int64), len(at)
+    typed = _typed([TOKENS.findall(text or "")], codes)
+    _, at, h, values = _windows(typed)
+    return at, h, values, len(template_windows(text, codes)[0])
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -163,6 +191,21 @@ def _item_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return benchmark.select(F.col(item_id).cast("bigint"), text).mapInArrow(windows, "item_id bigint, n_windows bigint, item_at bigint, hash bigint, item_values array<bigint>")
 
 
+def _token_runs(texts: pa.Array) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """(rows, their tokens): rows in runs of about RUN_TOKENS tokens, so that arrays are long but bounded by the longest text."""
+    rows, tokens, size = [], [], 0
+    for row in range(len(texts)):
+        some = TOKENS.findall(texts[row].as_py() or "")
+        rows.append(row)
+        tokens.append(some)
+        size += len(some)
+        if size >= RUN_TOKENS:
+            yield rows, tokens
+            rows, tokens, size = [], [], 0
+    if rows:
+        yield rows, tokens
+
+
 def _document_hits(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
     """Document windows whose hash is among `hashes` (sorted)."""
 
@@ -170,21 +213,19 @@ def _document_hits(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
         codes = _TokenCodes()
         rough = np.zeros(1 << 20, dtype=bool)
         rough[hashes & (len(rough) - 1)] = True
+
+        def wanted(h: np.ndarray) -> np.ndarray:
+            maybe = np.flatnonzero(rough[h & (len(rough) - 1)])
+            return maybe[hashes[np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)] == h[maybe]]
+
         for batch in batches:
-            for row in range(batch.num_rows):
-                text = batch.column(1)[row].as_py()
-                at, h, values, _ = readings(text, codes)
-                maybe = np.flatnonzero(rough[h & (len(rough) - 1)])
-                found = maybe[hashes[np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)] == h[maybe]]
-                if len(found):
-                    key = xxhash.xxh3_128_hexdigest(text.encode())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([batch.column(0)[row].as_py()] * len(found), pa.int64()), pa.array([key] * len(found), pa.string()),
-                            pa.array(at[found], pa.int64()), pa.array(h[found], pa.int64()), _lists(values[found]),
-                        ],
-                        names=["doc_id", "text_key", "doc_at", "hash", "doc_values"],
-                    )
+            for rows, tokens in _token_runs(batch.column(1)):
+                text, at, h, values = _windows(_typed(tokens, codes), wanted)
+                if len(at):
+                    row = np.array(rows)[text]
+                    key = {r: xxhash.xxh3_128_hexdigest(batch.column(1)[r].as_py().encode()) for r in set(row.tolist())}
+                    columns = [batch.column(0).take(pa.array(row)), pa.array([key[r] for r in row.tolist()], pa.string()), pa.array(at, pa.int64()), pa.array(h, pa.int64()), _lists(values)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "doc_at", "hash", "doc_values"])
 
     return docs.mapInArrow(hits, "doc_id bigint, text_key string, doc_at bigint, hash bigint, doc_values array<bigint>")
 
