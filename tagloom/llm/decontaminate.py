@@ -3,9 +3,9 @@
 Numbers, units after a number, and capitalised words inside a sentence become typed placeholders, so a question asked
 again with other values keeps its template. Capitalised words at the start of a sentence, number words, and units after
 those can be meant either way, so a window has a hash for each reading of them. Windows of five tokens are joined by hash. A pair of document and item counts
-the item's windows found on each diagonal (document position minus item position): those with equal values, and with them
+the item's windows found anywhere in the document: those with equal values, and with them
 the windows of the largest assignment that gives each value of the item one value of the document, its own where a window
-with equal values holds it. It is reported if they are at least 80 % of the item's windows. `same_values` is true if every window found is also found with equal values.
+with equal values holds it; one assignment for all of a pair's windows. It is reported if they are at least 80 % of the item's windows. `same_values` is true if every window found is also found with equal values.
 
 An item needs one of its rarest windows (a fifth, and one more) in a document to reach 80 %, so only these make candidate
 pairs; windows many items share do not multiply. Document windows are filtered by the benchmark's hashes, which reach the
@@ -276,8 +276,11 @@ def _whole_leaks(docs: DataFrame, benchmark: DataFrame, item_id: str, text: str)
     blocks = -(-phrases.count() // BLOCK_WINDOWS)
     if not blocks:
         return None
-    parts = [_phrase_hits(docs, [r["phrase"] for r in phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b).collect()]) for b in range(blocks)]
-    found = cut_lineage(reduce(DataFrame.unionByName, parts).distinct(), "phrase-hits").join(broadcast_if_fits(items), "phrase")
+    parts = []
+    for b in range(blocks):
+        some = [r["phrase"] for r in phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b).collect()]
+        parts.append(cut_lineage(_phrase_hits(docs, some).distinct(), "phrase-hits"))
+    found = reduce(DataFrame.unionByName, parts).join(broadcast_if_fits(items), "phrase")
     one = F.lit(1).cast("bigint")
     return found.select("doc_id", "text_key", "item_id", one.alias("n_windows"), one.alias("n_matched"), F.lit(True).alias("same_values"))
 
@@ -292,65 +295,102 @@ def text_key(text):
     return key(text)
 
 
-def largest_assignment(windows: list[tuple[int, list[tuple[int, int]]]]) -> list[int]:
-    """Places of the windows (place, slots (item value, document value)) that count on one diagonal.
+Factor = tuple[tuple[int, ...], dict[tuple, int]]
 
-    Windows whose values are all equal count always, and their values stand for themselves. To them come the windows that
-    agree with one function from item values to document values, chosen so that they are as many as possible.
-    Values are settled one after another (variable elimination), which is exact; only where a table of more than
-    MAX_TABLE choices would be needed, the choice is improved value by value instead and may be less than the largest.
-    """
-    found = [at for at, slots in windows if all(a == x for a, x in slots)]
-    kept = {a for _, slots in windows if all(a == x for a, x in slots) for a, _ in slots}
-    rest = [(at, dict(slots)) for at, slots in windows if any(a != x for a, x in slots) and len({a for a, _ in slots}) == len(set(slots))]
-    rest = [(at, slots) for at, slots in rest if all(a == x or a not in kept for a, x in slots.items())]
-    options: dict[int, set[int]] = {}
-    for _, slots in rest:
-        for a, x in slots.items():
-            options.setdefault(a, set()).add(x)
-    choice = {a: min(xs) for a, xs in options.items() if len(xs) == 1}
-    open_values = {a: sorted(xs) for a, xs in options.items() if len(xs) > 1}
-    # Each factor: values it depends on, and what a choice for them is worth.
-    counts: dict[tuple, dict[tuple, int]] = {}
-    for _, slots in rest:
-        scope = tuple(sorted(a for a in slots if a in open_values))
-        table = counts.setdefault(scope, {})
-        key = tuple(slots[a] for a in scope)
-        table[key] = table.get(key, 0) + 1
-    counts.pop((), None)
-    factors, settled, left = list(counts.items()), [], dict(open_values)
+
+def _fixed(factors: list[Factor], a: int, x: int) -> list[Factor]:
+    """The factors once value a has choice x."""
+    out = []
+    for scope, worth in factors:
+        if a in scope:
+            i = scope.index(a)
+            worth = {key[:i] + key[i + 1 :]: w for key, w in worth.items() if key[i] == x}
+            scope = scope[:i] + scope[i + 1 :]
+        out.append((scope, worth))
+    return out
+
+
+def _largest(factors: list[Factor], options: dict[int, list[int]]) -> tuple[int, dict[int, int]]:
+    """(worth, choice): the choice for which the factors' worths, 0 where a factor has none, add up to most.
+
+    Values are settled one after another (variable elimination). Where each of the rest would need a table of more than
+    MAX_TABLE choices, one is tried with every choice, best bound first, as long as its bound beats what was found."""
+    left, settled = dict(options), []
     while left:
         around = {a: sorted({b for scope, _ in factors if a in scope for b in scope} - {a}) for a in left}
-        cost = {a: prod(len(open_values[b]) for b in [a, *around[a]]) for a in left}
+        cost = {a: prod(len(options[b]) for b in [a, *around[a]]) for a in left}
         a = min(left, key=lambda v: (cost[v], v))
-        if cost[a] > MAX_TABLE:
+        if cost[a] > MAX_TABLE and around[a]:
             break
         mine, factors = [f for f in factors if a in f[0]], [f for f in factors if a not in f[0]]
         worth, best = {}, {}
-        for key in product(*(open_values[b] for b in around[a])):
+        for key in product(*(options[b] for b in around[a])):
             given = dict(zip(around[a], key, strict=True))
             sums = [sum(t.get(tuple(x if b == a else given[b] for b in scope), 0) for scope, t in mine) for x in left[a]]
             worth[key] = max(sums)
             best[key] = left[a][sums.index(worth[key])]
-        if around[a]:
-            factors.append((tuple(around[a]), worth))
+        factors.append((tuple(around[a]), worth))
         settled.append((a, around[a], best))
         del left[a]
-    choice |= {a: max(xs, key=lambda x: (sum(s.get(a) == x for _, s in rest), -x)) for a, xs in left.items()}
-    gain, better = lambda a, x: sum(t.get(tuple(x if b == a else choice[b] for b in scope), 0) for scope, t in factors if a in scope), bool(left)
-    while better:
-        better = False
-        for a, xs in left.items():
-            x = max(xs, key=lambda x: gain(a, x))
-            if gain(a, x) > gain(a, choice[a]):
-                choice[a], better = x, True
+    if left:
+        a = max(left, key=lambda v: (sum(v in scope for scope, _ in factors), -v))
+        bound = lambda fs: sum(max(0, *t.values(), 0) for _, t in fs)
+        tries = sorted(((bound(f), x, f) for x in left[a] for f in [_fixed(factors, a, x)]), key=lambda t: (-t[0], t[1]))
+        total, choice = -1, {}
+        for limit, x, conditioned in tries:
+            if limit > total:
+                worth, rest = _largest(conditioned, {b: xs for b, xs in left.items() if b != a})
+                if worth > total:
+                    total, choice = worth, rest | {a: x}
+    else:
+        total, choice = sum(t.get((), 0) for _, t in factors), {}
     for a, others, best in reversed(settled):
         choice[a] = best[tuple(choice[b] for b in others)]
-    return sorted(found + [at for at, slots in rest if all(choice[a] == x for a, x in slots.items())])
+    return total, choice
+
+
+def largest_assignment(windows: list[tuple[int, list[tuple[int, int]]]]) -> list[int]:
+    """Places that count among the windows (place, slots (item value, document value)) of a document and an item.
+
+    Windows whose values are all equal count always, and their values stand for themselves. To them come the windows that
+    agree with one function from item values to document values, chosen so that their places are as many as possible, exactly.
+    A place can have several windows (readings, copies with other values); it counts once.
+    """
+    found = {at for at, slots in windows if all(a == x for a, x in slots)}
+    kept = {a for _, slots in windows if all(a == x for a, x in slots) for a, _ in slots}
+    rest = [(at, dict(slots)) for at, slots in windows if at not in found and len({a for a, _ in slots}) == len(set(slots))]
+    rest = [(at, slots) for at, slots in rest if all(a == x or a not in kept for a, x in slots.items())]
+    options: dict[int, set[int]] = {}
+    for _, slots in rest:
+        for a, x in slots.items():
+            options.setdefault(a, set()).add(x)
+    choice = {a: min(xs) for a, xs in options.items() if len(xs) == 1}
+    open_values = {a: sorted(xs) for a, xs in options.items() if len(xs) > 1}
+    # What a place is worth: windows that can hold together are counted once (inclusion and exclusion).
+    terms: dict[int, dict[frozenset, int]] = {}
+    for at, slots in rest:
+        own = frozenset((a, x) for a, x in slots.items() if a in open_values)
+        place = terms.setdefault(at, {})
+        if own not in place or place[own] != 1:
+            more = {own: 1}
+            for term, sign in place.items():
+                both = term | own
+                if len({a for a, _ in both}) == len(both):
+                    more[both] = more.get(both, 0) - sign
+            for term, sign in more.items():
+                place[term] = place.get(term, 0) + sign
+    counts: dict[tuple, dict[tuple, int]] = {}
+    for place in terms.values():
+        for term, sign in place.items():
+            scope = tuple(sorted(a for a, _ in term))
+            key = tuple(x for _, x in sorted(term))
+            counts.setdefault(scope, {})[key] = counts.get(scope, {}).get(key, 0) + sign
+    choice |= _largest(list(counts.items()), open_values)[1]
+    return sorted(found | {at for at, slots in rest if all(choice[a] == x for a, x in slots.items())})
 
 
 def consistent(windows):
-    """Places that count among the windows of a diagonal (item_at, slots)."""
+    """Places that count among windows (item_at, slots)."""
 
     @F.arrow_udf("array<bigint>")
     def places(lines: pa.Array) -> pa.Array:
@@ -368,13 +408,12 @@ def contaminated(
     n = items.count()
     blocks = max(1, -(-n // BLOCK_WINDOWS))
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    parts = []
+    hits = docs.sparkSession.createDataFrame([], "doc_id bigint, text_key string, doc_at bigint, hash bigint, doc_values array<bigint>")
     for b in range(blocks):
-        rows = items.filter(F.pmod("hash", F.lit(blocks)) == b).select("hash").distinct().collect()
-        if rows:
-            parts.append(_document_hits(narrow, np.sort(np.array([r["hash"] for r in rows], dtype=np.int64))))
-    empty = docs.sparkSession.createDataFrame([], "doc_id bigint, text_key string, doc_at bigint, hash bigint, doc_values array<bigint>")
-    hits = cut_lineage(reduce(DataFrame.unionByName, parts, empty).distinct(), "window-hits")
+        rows = items.filter(F.pmod("hash", F.lit(blocks)) == b).select("hash").distinct().toArrow()
+        if rows.num_rows:
+            # A block's hits are written before the next block's hashes are read.
+            hits = hits.unionByName(cut_lineage(_document_hits(narrow, np.sort(rows["hash"].to_numpy())).distinct(), "window-hits"))
     # Repeated items are one item with several ids until the end.
     content = items.groupBy("item_id", "n_windows").agg(F.sort_array(F.collect_list(F.struct("item_at", "hash", "item_values"))).alias("w"))
     known = cut_lineage(content.groupBy("w", "n_windows").agg(F.collect_list("item_id").alias("ids")).withColumn("item", F.monotonically_increasing_id()), "items")
@@ -402,16 +441,16 @@ def contaminated(
     )
     # Of the readings of a window the one with the fewest slots asks for no more than the others.
     lines = lines.withColumn("w", F.filter("w", lambda x, i: (i == 0) | (F.get("w", i - 1)["item_at"] != x["item_at"])))
+    lines = lines.select(*document, "item", "n_windows", F.explode("w").alias("x"))
+    lines = lines.groupBy(*document, "item", "n_windows").agg(F.collect_set("x").alias("w"))
     lines = cut_lineage(lines.withColumn("slots", F.array_distinct(F.flatten("w.slots"))), "lines")
-    unlike = F.filter("slots", lambda s: s["item_values"] != s["doc_values"])
-    places = lambda w: F.transform(w, lambda x: x["item_at"])
+    places = lambda w: F.array_distinct(F.transform(w, lambda x: x["item_at"]))
     verbatim = places(F.filter("w", lambda x: F.forall(x["slots"], lambda s: s["item_values"] == s["doc_values"])))
     function = F.size(F.array_distinct("slots.item_values")) == F.size("slots")
     whole = lines.filter(function).withColumn("found", places(F.col("w")))
     parted = lines.filter(~function).withColumn("found", consistent(F.col("w")))
-    counted = whole.unionByName(parted).select(*document, "item", "n_windows", "found", F.when(F.size(unlike) == 0, F.col("found")).otherwise(verbatim).alias("verbatim"))
-    number = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name)))).cast("bigint")
-    pairs = counted.groupBy(*document, "item", "n_windows").agg(number("found").alias("n_matched"), (number("found") == number("verbatim")).alias("same_values"))
+    counted = whole.unionByName(parted).withColumn("n_matched", F.size("found").cast("bigint"))
+    pairs = counted.select(*document, "item", "n_windows", "n_matched", (F.col("n_matched") == F.size(verbatim)).alias("same_values"))
     leaks = pairs.filter(F.col("n_matched") * 100 >= F.col("n_windows") * percent)
     leaks = leaks.join(known.select("item", "ids"), "item").select(*document, F.explode("ids").alias("item_id"), "n_windows", "n_matched", "same_values")
     whole = _whole_leaks(narrow, benchmark, item_id, item_text)
