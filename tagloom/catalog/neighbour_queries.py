@@ -145,9 +145,24 @@ def _(spark, d):
 
 @query(
     "near_dup_clusters",
-    None,
+    """
+    , near AS MATERIALIZED (SELECT bucket, x, y, s FROM doc_pairs WHERE s >= 0.80),
+    around AS (SELECT bucket, map(list(x), list(others)) AS around FROM (SELECT bucket, x, list(y) AS others FROM near GROUP BY 1, 2) GROUP BY 1),
+    pairs AS MATERIALIZED (SELECT bucket, x, y, row_number() OVER (PARTITION BY bucket ORDER BY s DESC, x, y) AS k, around FROM near JOIN around USING (bucket) WHERE x < y),
+    run AS (
+      SELECT DISTINCT bucket, 0::BIGINT AS k, []::BIGINT[] AS used, []::BIGINT[] AS grown FROM near
+      UNION ALL
+      SELECT bucket, k, list_concat(used, grown), grown FROM (
+        SELECT p.bucket, p.k, r.used, CASE WHEN list_contains(r.used, p.x) OR list_contains(r.used, p.y) THEN [] ELSE list_reduce(
+                 list_prepend([p.x, p.y], list_transform(list_sort(list_filter(list_intersect(map_extract(p.around, p.x)[1], map_extract(p.around, p.y)[1]), lambda c: NOT list_contains(r.used, c))), lambda c: [c])),
+                 lambda members, c: CASE WHEN len(list_intersect(map_extract(p.around, c[1])[1], members)) = len(members) THEN list_concat(members, c) ELSE members END) END AS grown
+        FROM run r JOIN pairs p ON p.bucket = r.bucket AND p.k = r.k + 1))
+    SELECT bucket AS grp, unnest(grown) AS item_id, list_min(grown) AS cluster FROM run WHERE len(grown) > 0
+    """,
+    ("doc_pairs",),
 )
 def _(spark, d):
+    """Complete-linkage clusters of each bucket's notes, best pairs first, members in id order."""
     items = document_vectors(spark, d).select(F.col("bucket").alias("grp"), F.col("doc_id").alias("item_id"), "vector")
     return C.linkage_clusters(items, 0.80)
 
