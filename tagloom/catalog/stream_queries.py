@@ -327,3 +327,30 @@ def _(spark, d):
     return W.newest(rows, ["session_id", "turn"]).select("session_id", "turn", "assistant_text")
 
 
+
+
+CALL_BOUND = "60 days 12 hours"
+
+
+@query(
+    "stream_calls",
+    f"""WITH r AS (SELECT l_orderkey, min((l_shipdate, l_returnflag)) AS m FROM lineitem GROUP BY 1),
+         mark AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(m[1]) FROM r)) - INTERVAL '1 day' AS t),
+         j AS (SELECT o_orderpriority AS name, o_orderdate AS called, CASE WHEN m[1] >= o_orderdate AND m[1] <= o_orderdate + INTERVAL '{CALL_BOUND}' THEN epoch_ms(m[1]) - epoch_ms(o_orderdate) END AS ms, m[2] = 'R' AS err
+               FROM orders LEFT JOIN r ON l_orderkey = o_orderkey)
+        SELECT name, count(*) AS calls, count(ms) AS answered, count(*) FILTER (ms IS NULL) AS unanswered, count(*) FILTER (ms IS NOT NULL AND err) AS errors, round(avg(ms), 3) AS mean_ms, max(ms) AS max_ms
+        FROM j, mark WHERE ms IS NOT NULL OR called + INTERVAL '{CALL_BOUND}' < t GROUP BY 1""",
+)
+def _(spark, d):
+    """Orders as calls and their first shipped line as result; orders that are still open at the end are not counted."""
+    from tagloom.session import cut_lineage
+    from tagloom.streaming import calls as K
+
+    calls = W.table_stream(spark, d, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("call_id"), F.col("o_orderpriority").alias("name"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    first = T.read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_shipdate", "l_returnflag")).alias("m"))
+    owners = T.read_table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("session_id"))
+    rows = first.join(owners, "l_orderkey").select("session_id", F.col("l_orderkey").alias("call_id"), F.col("m.l_shipdate").cast("timestamp").alias("at"), (F.col("m.l_returnflag") == "R").alias("is_error"))
+    stored = cut_lineage(rows, "results")
+    results = spark.readStream.schema(stored.schema).parquet(stored.inputFiles()[0].rsplit("/", 1)[0])
+    met, _ = W.drain(K.answered_calls(calls, results, CALL_BOUND, "1 day"), "stream-calls", "append")
+    return K.tool_counts(met, ["name"]).withColumn("mean_ms", F.round("mean_ms", 3))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tagloom.functions.time import micros
 from tagloom.operators.running import running
+from tagloom.session import broadcast_if_fits
 
 
 def as_of_last(left: DataFrame, right: DataFrame, keys: list[str], time: str, left_id: str, value: Column, out: str) -> DataFrame:
@@ -284,8 +285,10 @@ def effective_parameters(defaults: DataFrame, presets: DataFrame, overrides: Dat
 
     `defaults` (name, value, low, high) is one row per parameter; every session gets every parameter.
     """
+    bounds = broadcast_if_fits(defaults.select("name", "low", "high"))
+
     def legal(df, column):
-        return df.join(F.broadcast(defaults.select("name", "low", "high")), "name").filter(F.col(column).between(F.col("low"), F.col("high"))).drop("low", "high")
+        return df.join(bounds, "name").filter(F.col(column).between(F.col("low"), F.col("high"))).drop("low", "high")
 
     names = defaults.agg(F.collect_list(F.struct("name", "value")).alias("all")).scalar()
     grid = sessions.select("session_id", "preset").withColumn("d", F.explode(names)).select("session_id", "preset", "d.name", F.col("d.value").alias("base"))

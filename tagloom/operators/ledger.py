@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tagloom.functions.time import micros
 from tagloom.operators.order_stats import Rank, order_statistics
 from tagloom.operators.running import running, top_n
+from tagloom.sources.logs import WRITES
 
 # fixed values: regime limits of the observability score
 COLLAPSED_BELOW = 0.12
@@ -122,7 +123,7 @@ def event_counts(log: DataFrame, keys: list[str]) -> DataFrame:
         n(skip & F.contains(why, F.lit("gate-below"))).alias("gate_blocks"),
         n(skip & ~F.contains(why, F.lit("gate-below")) & F.contains(why, F.lit("identical"))).alias("identical"),
         n(skip & ~F.contains(why, F.lit("gate-below")) & ~F.contains(why, F.lit("identical"))).alias("other_skips"),
-        n(ev == "note-write").alias("writes"),
+        n(ev.isin(*WRITES)).alias("writes"),
         n(ev == "write-nudge").alias("nudges"),
     )
     tried = F.col("injects") + F.col("gate_blocks")

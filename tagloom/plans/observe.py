@@ -14,7 +14,7 @@ from tagloom.operators.graph import strongest_out_edges
 from tagloom.operators.neighbours import top_neighbours
 from tagloom.operators.running import top_n
 from tagloom.params import PyramidParams, SpikeParams
-from tagloom.session import cut_lineage
+from tagloom.session import broadcast_if_fits, cut_lineage
 
 # fixed values: axis labels of a social world
 SOCIAL_WORLDS = "politics|society|history|economics|culture"
@@ -217,7 +217,7 @@ def gate_seeds(
     names the strongest axis.
     """
     first = levels.groupBy("query_id", "tag_id").agg(F.min_by(F.struct("level", "similarity", "contribution"), F.struct("level", "rank")).alias("f")).select("query_id", "tag_id", "f.*")
-    world = axes if world_names is None else axes.join(F.broadcast(world_names), "world", "left")
+    world = axes if world_names is None else axes.join(broadcast_if_fits(world_names), "world", "left")
     if world_names is None:
         world = world.withColumn("world_name", F.lit(None).cast("string"))
     name = F.coalesce("world_name", F.lit("Unknown"))

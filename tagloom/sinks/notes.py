@@ -17,7 +17,7 @@ def upsert_tags(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
     New ids are spread over partitions: name-hash buckets are numbered on their own and shifted by bucket totals.
     """
-    given = incoming.groupBy("name").agg(F.first("vector", ignorenulls=True).alias("new_vector"))
+    given = incoming.groupBy("name").agg(F.min("vector").alias("new_vector"))
     known = existing.join(given, "name", "full_outer")
     old = known.filter("tag_id IS NOT NULL").select("tag_id", "name", F.coalesce("new_vector", "vector").alias("vector"))
     fresh = known.filter("tag_id IS NULL").select("name", F.col("new_vector").alias("vector")).withColumn("b", F.pmod(F.xxhash64("name"), F.lit(1024)))

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 # fixed values: line layouts
 LINE = r"^\[([\dT:.\-]+)Z\] \[(\w+)\] ([^ ]+)(.*)$"
 GATE = r"gate=\{([^}]*)\}"
+# fixed values: events that stand for a write
+WRITES = ("memo_write", "note-write")
 
 SESSION_SCHEMA = T.StructType(
     [
@@ -24,6 +26,7 @@ SESSION_SCHEMA = T.StructType(
                     T.StructField("callId", T.StringType()),
                     T.StructField("arguments", T.StringType()),
                     T.StructField("isError", T.BooleanType()),
+                    T.StructField("message", T.StructType([T.StructField("content", T.ArrayType(T.StructType([T.StructField("toolCallId", T.StringType()), T.StructField("isError", T.BooleanType())])))])),
                 ]
             ),
         ),
@@ -101,6 +104,8 @@ def parse_sessions(lines: DataFrame) -> DataFrame:
 
 def flatten_session(raw: DataFrame) -> DataFrame:
     texts = F.transform(F.coalesce("data.content", F.array()), lambda c: F.coalesce(c["text"], F.lit("")))
+    # A result names its call in the first block of its message that has one.
+    answer = F.try_element_at(F.filter("data.message.content", lambda c: c["toolCallId"].isNotNull()), F.lit(1))
     return raw.select(
         "session_id",
         "type",
@@ -108,6 +113,6 @@ def flatten_session(raw: DataFrame) -> DataFrame:
         F.col("data.source.kind").alias("kind"),
         F.array_join(texts, "").alias("text"),
         F.col("data.name").alias("name"),
-        F.col("data.callId").alias("call_id"),
-        F.coalesce("data.isError", F.lit(False)).alias("is_error"),
+        F.coalesce("data.callId", answer["toolCallId"]).alias("call_id"),
+        F.coalesce("data.isError", answer["isError"], F.lit(False)).alias("is_error"),
     )

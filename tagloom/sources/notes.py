@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import text as X
+from tagloom.sources.logs import WRITES
 
 
 def scan_notes(spark: SparkSession, path: str, bucket: Column | None = None) -> DataFrame:
@@ -38,7 +39,7 @@ def newest_per_bucket(notes: DataFrame) -> DataFrame:
 
 
 def last_write(log: DataFrame) -> DataFrame:
-    return log.filter("event = 'note-write'").groupBy("bucket").agg(F.max("ts").alias("last_write_at"))
+    return log.filter(F.col("event").isin(*WRITES)).groupBy("bucket").agg(F.max("ts").alias("last_write_at"))
 
 
 def draft_queue(spark: SparkSession, path: str) -> DataFrame:

@@ -74,7 +74,7 @@ def omega_histogram(samples: DataFrame, width: str = "1 hour", late: str = "1 ho
 def usage(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Usage ledger rows from (bucket, event_id, file_id, kind, at); repeated deliveries inside the watermark count once."""
     once = events.withWatermark("at", late)
-    once = once.dropDuplicatesWithinWatermark(["event_id", "file_id"]) if events.isStreaming else once.dropDuplicates(["event_id", "file_id"])
+    once = once.dropDuplicatesWithinWatermark(["event_id", "file_id", "kind"]) if events.isStreaming else once.dropDuplicates(["event_id", "file_id", "kind"])
     passive, active = F.col("kind") == "passive", F.col("kind") == "active"
     return once.groupBy("bucket", "file_id").agg(
         F.count_if(passive).alias("passive"), F.count_if(active).alias("active"),

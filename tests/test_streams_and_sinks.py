@@ -168,3 +168,42 @@ def test_approve_writes_only_what_passes(spark):
     outcome, after = approve(drafts, tables(spark), counts)
     assert {r["file_id"]: r["outcome"] for r in outcome.collect()} == {5: "too-few-tags", 6: "near-duplicate", 7: "written", 8: "unconfirmed-new-tags", 9: "missing-title"}
     assert {r["path"] for r in after["files"].collect()} == {"p1", "p2", "p7"}
+
+
+def session_lines():
+    import json
+
+    def line(kind, at, **data):
+        return json.dumps({"type": kind, "time": at, "data": data})
+
+    m = 60_000
+    call = lambda at, i, name: line("tool/call", at, name=name, callId=i)
+    answer = lambda at, i, bad=False: line("tool/result", at, message={"content": [{"type": "text"}, {"toolCallId": i, "isError": bad, "content": [{"text": "x"}]}]})
+    day = 24 * 60 * m
+    return [
+        [("s-1", call(m, "a", "note_write")), ("s-1", call(2 * m, "b", "note_read")), ("s-2", call(2 * m, "a", "note_read"))],
+        [("s-1", answer(3 * m, "a")), ("s-2", answer(4 * m, "a", True)), ("s-1", call(5 * m, "c", "note_write"))],
+        [("s-1", answer(200 * m, "b")), ("s-1", answer(6 * m, "c"))],
+        [("s-9", call(day, "z", "tick")), ("s-9", answer(day, "y"))],
+        [("s-9", call(2 * day, "z2", "tick")), ("s-9", answer(2 * day, "y2"))],
+    ]
+
+
+def test_calls_meet_their_results_in_batch_and_stream(spark, tmp_path):
+    from tagloom.streaming.calls import answered_calls, calls_and_results, tool_counts
+
+    parts = session_lines()
+    events = G.parse_sessions(spark.createDataFrame([x for p in parts for x in p], "session_id string, value string")).withColumn("at", F.col("at").cast("timestamp"))
+    key = lambda df: {(r["session_id"], r["call_id"]): (r["ms"], r["is_error"]) for r in df.filter("name <> 'tick'").collect()}
+    batch = answered_calls(*calls_and_results(events))
+    # The result of b comes after the bound.
+    assert key(batch) == {("s-1", "a"): (120_000, False), ("s-1", "b"): (None, None), ("s-2", "a"): (120_000, True), ("s-1", "c"): (60_000, False)}
+    path = str(tmp_path / "events")
+    for p in parts:
+        spark.createDataFrame(p, "session_id string, value string").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("session_id string, value string").option("maxFilesPerTrigger", 1).parquet(path)
+    live = G.parse_sessions(stream).withColumn("at", F.col("at").cast("timestamp"))
+    rows, _ = W.drain(answered_calls(*calls_and_results(live)), "calls", "append")
+    assert key(rows) == key(batch)
+    counts = {r["name"]: (r["calls"], r["answered"], r["unanswered"], r["errors"], r["max_ms"]) for r in tool_counts(rows.filter("name <> 'tick'"), ["name"]).collect()}
+    assert counts == {"note_write": (2, 2, 0, 0, 120_000), "note_read": (2, 1, 1, 1, 120_000)}
