@@ -84,8 +84,7 @@ HIT, DISGUISED, PERSON, ODD = 1, 2, 4, 8
 
 
 class _Words(dict):
-    """What is known of a word, packed: marks in 8 bits, then capitals and exclamation marks (at most 65,535 each)
-    and the length (at most 2**20 - 1)."""
+    """What is known of a word, packed: marks in 8 bits, then the number of capitals."""
 
     def __init__(self, lexicon: frozenset[str]):
         super().__init__()
@@ -102,9 +101,7 @@ class _Words(dict):
             marks |= ODD | (DISGUISED if not marks and self.listed(plain(tok)) else 0)
         if tok in SECOND_PERSON:
             marks |= PERSON
-        upper = min(sum(map(str.isupper, word)), 65_535)
-        bangs = min(word.count("!") + word.count("?"), 65_535)
-        packed = marks | upper << 8 | bangs << 24 | min(len(word), (1 << 20) - 1) << 40
+        packed = marks | sum(map(str.isupper, word)) << 8
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         if len(word) < 40:
@@ -113,7 +110,8 @@ class _Words(dict):
 
 
 def features_of(text: str | None, known: _Words) -> list[float]:
-    words = (text or "").split()
+    text = text or ""
+    words = text.split()
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
@@ -127,10 +125,9 @@ def features_of(text: str | None, known: _Words) -> list[float]:
             np.abs(people[np.minimum(after, len(people) - 1)] - hits), np.abs(hits - people[np.maximum(after - 1, 0)])
         )
         near = int((gap <= NEAR).sum())
-    chars = max(int((codes >> 40).sum()), 1)
     return [
         math.log1p(n), len(hits) / n, math.log1p(len(hits)), np.count_nonzero(codes & DISGUISED) / n, len(people) / n, near / n,
-        int((codes >> 8 & 65_535).sum()) / chars, int((codes >> 24 & 65_535).sum()) / n, np.count_nonzero(codes & ODD) / n,
+        int((codes >> 8).sum()) / sum(map(len, words)), (text.count("!") + text.count("?")) / n, np.count_nonzero(codes & ODD) / n,
     ]
 
 
@@ -175,7 +172,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataF
     n, positive = share(held)
     if not 0 < positive < n:
         return scored.select(*keep, F.col("tree_score").alias("score"))
-    steps = IsotonicRegression(featuresCol="tree_score", labelCol="label", predictionCol="calibrated").fit(trees(held))
+    # Rows of one tree score would meet in one task of the fit; their weighted mean stands for them.
+    levels = trees(held).groupBy("tree_score").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    steps = IsotonicRegression(featuresCol="tree_score", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(levels)
     mixed = (1 - TREE_SHARE) * F.col("calibrated") + TREE_SHARE * F.col("tree_score")
     return steps.transform(scored).select(*keep, mixed.alias("score"))
 

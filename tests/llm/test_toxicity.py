@@ -16,6 +16,12 @@ def test_words_and_disguises():
     assert len(tox.features_of("x" * 3_000_000, known)) == len(tox.FEATURES)
 
 
+def test_very_long_words_count_whole():
+    known = tox._Words(frozenset())
+    f = dict(zip(tox.FEATURES, tox.features_of("A" * 200_000 + "b" * 1_800_000 + "!" * 100_000 + " c?", known), strict=True))
+    assert f["upper_rate"] == 200_000 / 2_100_002 and f["bang_rate"] == 100_001 / 2
+
+
 def test_lexicon_needs_support(spark):
     rows = [("bad word", 1.0)] * 6 + [("good word", 0.0)] * 20 + [("rare", 1.0)] * 2
     assert tox.learn_lexicon(spark.createDataFrame(rows, "text string, label double")) == ["bad"]
