@@ -12,7 +12,8 @@ Documents are bytes in UTF-8, ordered by doc_id; matches never cross documents.
    repeats, also where their neighbours in the array are other texts. Intervals that extend to the left are left to the
    longer repeat that covers them.
 3. Frequent anchors (a share of all documents, found on a sample of documents, which decides the route alone) would fill
-   one task. Their runs are dealt out by content, and their suffixes by the hash of the first LENGTH bytes.
+   one task. Their runs are dealt out by content, and their suffixes by the hash of the first LENGTH bytes. So are the
+   suffixes of any other anchor whose different runs hold more than ANCHOR_BYTES: no suffix array grows with the corpus.
 4. Spans are merged per document and cut out.
 
 Null texts are empty. Documents must differ in doc_id; where ids repeat or are null, rows are numbered anew in the order
@@ -40,6 +41,7 @@ BLOCK_BYTES = 4_000_000
 # for its length, so the list stays near its average number of runs divided by the share.
 FREQUENT_SHARE, FREQUENT_DOCS, SAMPLE_DOCS = 0.002, 64, 500_000
 BATCH_BYTES = 1_500_000
+ANCHOR_BYTES = 1_500_000
 WORD = 7
 
 _draw = np.random.default_rng(7)
@@ -211,7 +213,8 @@ def _resolve(runs: DataFrame, frequent: list[int]) -> DataFrame:
         several = np.bincount(group, weights=new)[group] > 1
         is_hot = np.isin(anchor, hot)
         wanted = new & (several | (kind == INSIDE) | is_hot)
-        out = np.where(~new, SPAN, np.where(is_hot, FREQUENT, FRAGMENT)).astype(np.int32)
+        heavy = np.bincount(group, weights=np.where(wanted, size, 0))[group] > ANCHOR_BYTES
+        out = np.where(~new, SPAN, np.where(is_hot | heavy, FREQUENT, FRAGMENT)).astype(np.int32)
         keep = ~new | wanted
         yield _batch(RESOLVED, out[keep], anchor[keep], doc[keep], start[keep], size[keep])
 

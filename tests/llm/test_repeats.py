@@ -58,6 +58,16 @@ def test_frequent_anchors_and_small_blocks_change_nothing(spark, monkeypatch):
     rp._powers.cache_clear()
 
 
+def test_heavy_anchors_change_nothing(spark, monkeypatch):
+    rows = cases()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for most in (0, 400):
+        monkeypatch.setattr(rp, "ANCHOR_BYTES", most)
+        kinds = {r["kind"] for r in rp._resolve(rp._runs(docs, []), []).select("kind").distinct().collect()}
+        assert rp.FREQUENT in kinds and (rp.FRAGMENT in kinds) == (most > 0)
+        assert got(docs) == brute(rows)
+
+
 def test_interval_tree_reports_occurrences_beyond_neighbours():
     a, b, c = b"A" + bytes(range(120)), b"B" + bytes(range(120)) + b"tail", b"C" + bytes(range(110)) + b"end"
     place, size, earlier = rp.maximal_repeats([a, b, c])
