@@ -289,20 +289,104 @@ def activity(spark, d):
     )
 
 
-@query("stream_reminders")
+# A finite table is one micro-batch; without delay its last events are passed by the watermark too.
+def drained(rows, label):
+    return W.drain(rows, label, "append")[0].drop("batch").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+IDLE_US = int(P.IDLE_DAYS * 86_400_000_000)
+part("session_steps", "SELECT *, user_id AS session_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL")
+part(
+    "session_kinds",
+    """SELECT session_id, rn, us, event_id, ts, CASE event_type WHEN 'view' THEN 'tool' WHEN 'click' THEN 'report' WHEN 'purchase' THEN 'write' WHEN 'error' THEN 'delegate' ELSE 'compress' END AS kind,
+         dayofyear(ts)::BIGINT AS turn, regexp_extract(props, '[0-9]+')::BIGINT AS step, floor(value * 40)::BIGINT AS chars, floor(value * 1000)::BIGINT AS active_ms FROM session_steps""",
+    ("session_steps",),
+)
+R = ReminderParams()
+
+
+@query(
+    "stream_reminders",
+    f"""SELECT session_id, event_id AS seq, ts AS at, reason, amount, delegating, compressed FROM (
+         WITH RECURSIVE r AS (
+           SELECT DISTINCT session_id, 0::BIGINT AS rn, NULL::BIGINT AS last, 0::BIGINT AS wrote, 0::BIGINT AS nudged, 0::BIGINT AS a_turn, 0::BIGINT AS a_step, -1::BIGINT AS a_chars, 0::BIGINT AS total, 0::BIGINT AS active,
+             0::BIGINT AS a_active, -1::BIGINT AS d_turn, 0::BIGINT AS d_us, false AS delegating, 0 AS compressed, []::BIGINT[] AS ring, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS reason, NULL::BIGINT AS amount FROM session_kinds
+           UNION ALL
+           SELECT session_id, rn, us, CASE WHEN kind = 'write' THEN us ELSE wrote END, CASE WHEN reason IS NOT NULL THEN us ELSE nudged END,
+             CASE WHEN kind = 'write' OR reason IS NOT NULL THEN greatest(a_turn, turn) ELSE a_turn END,
+             CASE WHEN kind = 'write' THEN greatest(a_step, step) WHEN reason IS NOT NULL THEN step ELSE a_step END,
+             CASE WHEN kind = 'write' OR reason IS NOT NULL THEN total ELSE a_chars END, total, active, CASE WHEN kind = 'write' OR reason IS NOT NULL THEN active ELSE a_active END,
+             d_turn, d_us, kind <> 'write' AND delegating, CASE WHEN kind = 'write' THEN 0 ELSE compressed END, ring, event_id, ts, reason,
+             CASE reason WHEN 'steps' THEN steps WHEN 'growth' THEN total - a_chars WHEN 'turns' THEN d_turn - a_turn WHEN 'active' THEN active - a_active END
+           FROM (SELECT *, CASE WHEN kind = 'write' OR nudged > 0 AND us - nudged < {int(R.spacing_minutes * P.MINUTE_US)} THEN NULL
+               WHEN {R.steps} > 0 AND steps >= {R.steps} THEN 'steps' WHEN {R.growth_chars} > 0 AND total - a_chars >= {R.growth_chars} THEN 'growth'
+               WHEN {R.report_turns} > 0 AND progress AND d_turn - a_turn >= {R.report_turns} THEN 'turns'
+               WHEN {R.active_minutes} > 0 AND progress AND active - a_active >= {R.active_minutes} * 60000 THEN 'active' END AS reason
+             FROM (SELECT * REPLACE (CASE WHEN a_chars < 0 THEN total ELSE a_chars END AS a_chars), CASE WHEN step >= a_step THEN step - a_step ELSE step END AS steps, d_turn >= 0 AND d_us > wrote AS progress
+             FROM (SELECT * REPLACE (
+                 active + active_ms AS active,
+                 total + CASE WHEN kind <> 'tool' OR chars <= {R.tool_default} THEN chars WHEN len(ring) < {R.tool_warmup} THEN {R.tool_default}
+                   ELSE least(chars, floor(list_sum(list_sort(ring)[cut + 1 : len(ring) - cut])::DOUBLE / (len(ring) - 2 * cut) + 0.5)::BIGINT) END AS total,
+                 CASE WHEN kind = 'tool' AND chars > 0 THEN list_append(ring, chars)[-{R.tool_ring} :] ELSE ring END AS ring,
+                 CASE WHEN kind = 'report' AND chars >= {R.report_chars} THEN turn ELSE d_turn END AS d_turn, CASE WHEN kind = 'report' AND chars >= {R.report_chars} THEN us ELSE d_us END AS d_us,
+                 delegating OR kind = 'delegate' AS delegating, CASE WHEN kind = 'compress' THEN compressed + 1 ELSE compressed END AS compressed)
+             FROM (SELECT *, greatest(1, floor(len(ring) * 0.1)::BIGINT) AS cut
+             FROM (SELECT e.*, CASE WHEN f THEN 0 ELSE wrote END AS wrote, CASE WHEN f THEN 0 ELSE nudged END AS nudged, CASE WHEN f THEN 0 ELSE a_turn END AS a_turn, CASE WHEN f THEN 0 ELSE a_step END AS a_step,
+                 CASE WHEN f THEN -1 ELSE a_chars END AS a_chars, CASE WHEN f THEN 0 ELSE total END AS total, CASE WHEN f THEN 0 ELSE active END AS active, CASE WHEN f THEN 0 ELSE a_active END AS a_active,
+                 CASE WHEN f THEN -1 ELSE d_turn END AS d_turn, CASE WHEN f THEN 0 ELSE d_us END AS d_us, delegating AND NOT f AS delegating, CASE WHEN f THEN 0 ELSE compressed END AS compressed, CASE WHEN f THEN [] ELSE ring END AS ring
+               FROM (SELECT r.*, e AS e, coalesce(e.us - r.last > {IDLE_US}, false) AS f FROM r JOIN session_kinds e ON e.session_id = r.session_id AND e.rn = r.rn + 1))))))
+         )
+         SELECT * FROM r) WHERE reason IS NOT NULL""",
+    ("session_kinds",),
+)
 def _(spark, d):
-    rows, _ = W.drain(P.write_reminders(activity(spark, d), ReminderParams()), "stream-reminders", "append")
-    return rows.drop("batch")
+    return drained(P.write_reminders(activity(spark, d), R, "0 seconds"), "stream-reminders")
 
 
-@query("stream_prompt_reminders")
+@query(
+    "stream_prompt_reminders",
+    f"""SELECT session_id, event_id AS seq, ts AS at, hit AS stops FROM (
+         WITH RECURSIVE r AS (
+           SELECT DISTINCT session_id, 0::BIGINT AS rn, NULL::BIGINT AS last, 0::BIGINT AS w, 0::BIGINT AS n, 0 AS stops, false AS progress, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, NULL::INTEGER AS hit FROM session_steps
+           UNION ALL
+           SELECT session_id, rn, us, CASE WHEN kind = 'write' THEN us ELSE w END, CASE WHEN fire THEN us ELSE n END,
+             CASE WHEN kind = 'write' OR fire THEN 0 WHEN kind = 'stop' THEN stops + 1 ELSE stops END, CASE WHEN kind = 'write' OR fire THEN false ELSE progress OR kind = 'prompt' END,
+             event_id, ts, CASE WHEN fire THEN stops + 1 END
+           FROM (SELECT *, kind = 'stop' AND progress AND (stops + 1 >= 2 OR us - greatest(w, n) >= 420000000) AS fire FROM (
+             SELECT session_id, rn, us, kind, event_id, ts, w, stops, progress, CASE WHEN kind <> 'write' AND w = 0 AND n = 0 THEN us ELSE n END AS n FROM (
+               SELECT e.session_id, e.rn, e.us, e.event_id, e.ts, CASE e.event_type WHEN 'purchase' THEN 'write' WHEN 'click' THEN 'stop' ELSE 'prompt' END AS kind,
+                 CASE WHEN e.us - r.last > {IDLE_US} THEN 0 ELSE r.w END AS w, CASE WHEN e.us - r.last > {IDLE_US} THEN 0 ELSE r.n END AS n,
+                 CASE WHEN e.us - r.last > {IDLE_US} THEN 0 ELSE r.stops END AS stops, CASE WHEN e.us - r.last > {IDLE_US} THEN false ELSE r.progress END AS progress
+               FROM r JOIN session_steps e ON e.session_id = r.session_id AND e.rn = r.rn + 1))))
+         SELECT * FROM r) WHERE hit IS NOT NULL""",
+    ("session_steps",),
+)
 def _(spark, d):
     e = activity(spark, d).withColumn("kind", F.expr("CASE kind WHEN 'write' THEN 'write' WHEN 'report' THEN 'stop' ELSE 'prompt' END"))
-    rows, _ = W.drain(P.prompt_reminders(e), "stream-prompts", "append")
-    return rows.drop("batch")
+    return drained(P.prompt_reminders(e, "0 seconds"), "stream-prompts")
 
 
-@query("stream_cadence")
+@query(
+    "stream_cadence",
+    f"""SELECT session_id, event_id AS seq, ts AS at, why, shown FROM (
+         WITH RECURSIVE r AS (
+           SELECT DISTINCT session_id, 0::BIGINT AS rn, NULL::BIGINT AS last, -1 AS auto_turn, 0 AS auto_step, 0::BIGINT AS compaction, '' AS shown_key, -1 AS shown_turn, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS why, NULL::BOOLEAN AS shown FROM session_steps
+           UNION ALL
+           SELECT session_id, rn, us, CASE WHEN runs THEN turn ELSE auto_turn END, CASE WHEN runs THEN step ELSE auto_step END, CASE WHEN mark > 0 THEN mark ELSE compaction END,
+             CASE WHEN shows THEN key ELSE shown_key END, CASE WHEN shows THEN turn ELSE shown_turn END, event_id, ts,
+             CASE WHEN NOT runs THEN NULL WHEN starts THEN 'start' WHEN compacted THEN 'compaction' ELSE 'cadence' END, CASE WHEN runs THEN shows END
+           FROM (SELECT *, runs AND (compacted OR key <> shown_key OR turn - shown_turn >= 8) AS shows FROM (
+             SELECT *, starts OR compacted OR auto_turn <> turn OR step - auto_step >= 15 AS runs FROM (
+             SELECT *, step = 1 OR fresh AS starts, mark > 0 AND mark <> compaction AS compacted FROM (
+               SELECT e.session_id, e.rn, e.us, e.event_id, e.ts, dayofyear(e.ts)::INTEGER AS turn, regexp_extract(e.props, '[0-9]+')::INTEGER + 1 AS step, e.event_type = 'click' AS fresh,
+                 CASE WHEN e.event_type = 'error' THEN e.event_id ELSE 0 END AS mark, floor(e.value / 20)::BIGINT::VARCHAR AS key,
+                 CASE WHEN e.us - r.last > {IDLE_US} THEN -1 ELSE r.auto_turn END AS auto_turn, CASE WHEN e.us - r.last > {IDLE_US} THEN 0 ELSE r.auto_step END AS auto_step,
+                 CASE WHEN e.us - r.last > {IDLE_US} THEN 0 ELSE r.compaction END AS compaction, CASE WHEN e.us - r.last > {IDLE_US} THEN '' ELSE r.shown_key END AS shown_key,
+                 CASE WHEN e.us - r.last > {IDLE_US} THEN -1 ELSE r.shown_turn END AS shown_turn
+               FROM r JOIN session_steps e ON e.session_id = r.session_id AND e.rn = r.rn + 1)))))
+         SELECT * FROM r) WHERE why IS NOT NULL""",
+    ("session_steps",),
+)
 def _(spark, d):
     e = event_stream(spark, d)
     k = F.regexp_extract("props", r"\d+", 0).cast("int")
@@ -311,8 +395,7 @@ def _(spark, d):
         (F.col("event_type") == "click").alias("fresh_input"), F.when(F.col("event_type") == "error", F.col("event_id")).otherwise(0).alias("compaction"),
         F.floor(F.col("value") / 20).cast("string").alias("key"),
     )
-    rows, _ = W.drain(P.recall_cadence(steps), "stream-cadence", "append")
-    return rows.drop("batch")
+    return drained(P.recall_cadence(steps, late="0 seconds"), "stream-cadence")
 
 
 @query(

@@ -1,20 +1,28 @@
 """Per-session state on streams: write reminders, recall cadence, rolling samples.
 
-Each step function is plain: (state, event) -> (state, output). The stream keeps the state per session and feeds
-events of a micro-batch in event-time order.
+Each step function is plain: (state, event) -> (state, output). A stream holds the events of a session back until the
+watermark has passed them and then feeds them in order of (time, seq), so the outcome does not depend on how events fall
+into micro-batches; a timer at the next held event or at the end of the idle time wakes sessions without new events. A
+session restarts after IDLE_DAYS without events, and its state is dropped then. Times are compared with the watermark in whole
+milliseconds. Static frames give the same rows, streamed through one sorted partition with one session's state in memory.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.types import StructType
 
 from tagloom.params import ReminderParams
 
 MINUTE_US = 60_000_000
+IDLE_DAYS = 30.0
 
 
 def trimmed_mean(values: list[int], default: float) -> float:
@@ -41,7 +49,7 @@ REMINDER_STATE = (
 )
 REMINDER_START = (0, 0, 0, 0, -1, 0, 0, 0, -1, 0, False, 0, [])
 REMINDER_FIELDS = [part.split()[0] for part in REMINDER_STATE.split(", ")]
-REMINDER_OUT = "session_id bigint, seq bigint, at timestamp, reason string, amount bigint, delegating boolean, compressed int"
+REMINDER_OUT = "reason string, amount bigint, delegating boolean, compressed int"
 
 
 def reminder_step(s: dict, e: dict, p: ReminderParams = ReminderParams()) -> tuple[dict, tuple[str, int] | None]:
@@ -99,38 +107,113 @@ def _events(frames: Iterator[pd.DataFrame]) -> list[dict]:
     return pdf.assign(us=us).to_dict("records")
 
 
-def _stateful(start: tuple, fields: list[str], step: Callable, row: Callable, columns: list[str]):
-    """Group function for applyInPandasWithState around a plain step function."""
+@dataclass(frozen=True)
+class Steps:
+    """A step function with its start state; `row` gives the output columns after (session_id, seq, at)."""
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = dict(zip(fields, state.get if state.exists else start))
-        if s.get("ring") is not None:
-            s["ring"] = list(s["ring"])
-        out = []
-        for e in _events(frames):
-            s, hit = step(s, e)
-            if hit is not None:
-                out.append(row(key[0], e, s, hit))
-        state.update(tuple(s[f] for f in fields))
-        if out:
-            yield pd.DataFrame(out, columns=columns)
+    state: str
+    start: tuple
+    step: Callable
+    row: Callable
+    out: str
+    idle_days: float = IDLE_DAYS
 
-    return run
+    @property
+    def fields(self) -> list[str]:
+        return [part.split()[0] for part in self.state.split(", ")]
 
+    def fresh(self) -> dict:
+        return {f: list(v) if isinstance(v, list) else v for f, v in zip(self.fields, self.start, strict=True)}
+
+    def feed(self, key, s: dict, last_us: int | None, e: dict) -> tuple[dict, tuple | None]:
+        """State after one event and its output row, if any."""
+        if last_us is not None and e["us"] - last_us > self.idle_days * 1440 * MINUTE_US:
+            s = self.fresh()
+        s, hit = self.step(s, e)
+        return s, None if hit is None else (key, e["seq"], pd.Timestamp(e["us"], unit="us", tz="UTC"), *self.row(s, hit))
+
+    def schema(self, events: DataFrame) -> StructType:
+        key = events.schema["session_id"].dataType.simpleString()
+        return StructType.fromDDL(f"session_id {key}, seq bigint, at timestamp, {self.out}")
+
+
+def _plain(e: dict) -> dict:
+    """An event as JSON can hold it."""
+    return {k: None if v is None or v is pd.NaT or v != v else v.item() if hasattr(v, "item") else v for k, v in e.items() if k != "at"}
 
-def write_reminders(events: DataFrame, p: ReminderParams = ReminderParams(), late: str = "1 hour") -> DataFrame:
-    """Reminders per session from (session_id, seq, at, kind, turn, step, chars, active_ms)."""
-    names = [part.split()[0] for part in REMINDER_OUT.split(", ")]
 
-    def row(key, e, s, hit):
-        return (key, e["seq"], e["at"], hit[0], int(hit[1]), bool(s["delegating"]), int(s["compress"]))
+def step_sessions(events: DataFrame, steps: Steps, late: str = "1 hour") -> DataFrame:
+    """Output rows of `steps` over events (session_id, seq, at and what the step reads); `at` is a timestamp. Events without
+    a time or session are left out. On a stream, events later than `late` are dropped by the watermark."""
+    if events.isStreaming:
+        events = events.withWatermark("at", late)
+    timed = events.filter(F.col("at").isNotNull() & F.col("session_id").isNotNull()).withColumn("us", F.unix_micros("at"))
+    return _stepped_stream(timed, steps) if events.isStreaming else _stepped_frame(timed, steps)
 
-    run = _stateful(REMINDER_START, REMINDER_FIELDS, lambda s, e: reminder_step(s, e, p), row, names)
-    return events.withWatermark("at", late).groupBy("session_id").applyInPandasWithState(run, REMINDER_OUT, REMINDER_STATE, "append", "NoTimeout")
+
+def _stepped_stream(timed: DataFrame, steps: Steps) -> DataFrame:
+    out = steps.schema(timed)
+    idle_ms = int(steps.idle_days * 86_400_000)
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *values, last_us, done_ms, held = state.get if state.exists else (*steps.start, None, None, [])
+        s = {f: list(v) if hasattr(v, "__len__") and not isinstance(v, str) else v for f, v in zip(steps.fields, values, strict=True)}
+        events = [json.loads(x) for x in held]
+        if not state.hasTimedOut:
+            for pdf in frames:
+                new = map(_plain, pdf.drop(columns="session_id").to_dict("records"))
+                events += [e for e in new if done_ms is None or e["us"] // 1000 > done_ms]
+        events.sort(key=lambda e: (e["us"], e["seq"]))
+        mark = state.getCurrentWatermarkMs()
+        ready = [e for e in events if e["us"] // 1000 <= mark]
+        held = events[len(ready) :]
+        rows = []
+        for e in ready:
+            s, row = steps.feed(key[0], s, last_us, e)
+            last_us = e["us"]
+            if row is not None:
+                rows.append(row)
+        if not held and last_us is not None and last_us // 1000 + idle_ms < mark:
+            state.remove()
+        else:
+            state.update((*(s[f] for f in steps.fields), last_us, mark if ready else done_ms, [json.dumps(e) for e in held]))
+            wake = held[0]["us"] // 1000 - 1 if held else (last_us or 0) // 1000 + idle_ms
+            state.setTimeoutTimestamp(max(wake, mark + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=out.names)
+
+    kept = f"{steps.state}, last_us bigint, done_ms bigint, held array<string>"
+    return timed.groupBy("session_id").applyInPandasWithState(run, out, kept, "append", "EventTimeTimeout")
+
+
+def _stepped_frame(timed: DataFrame, steps: Steps) -> DataFrame:
+    out = steps.schema(timed)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, s, last_us = object(), None, None
+        for pdf in frames:
+            rows = []
+            for e in pdf.to_dict("records"):
+                if e["session_id"] != current:
+                    current, s, last_us = e["session_id"], steps.fresh(), None
+                s, row = steps.feed(current, s, last_us, _plain(e))
+                last_us = e["us"]
+                if row is not None:
+                    rows.append(row)
+            if rows:
+                yield pd.DataFrame(rows, columns=out.names)
+
+    return timed.repartition("session_id").sortWithinPartitions("session_id", "us", "seq").mapInPandas(run, out)
+
+
+def write_reminders(events: DataFrame, p: ReminderParams = ReminderParams(), late: str = "1 hour") -> DataFrame:
+    """Reminders per session from (session_id, seq, at, kind, turn, step, chars, active_ms)."""
+    row = lambda s, hit: (hit[0], int(hit[1]), bool(s["delegating"]), int(s["compress"]))
+    return step_sessions(events, Steps(REMINDER_STATE, REMINDER_START, lambda s, e: reminder_step(s, e, p), row, REMINDER_OUT), late)
 
 
 PROMPT_STATE = "write_us bigint, nudge_us bigint, stops int, progress boolean"
-PROMPT_OUT = "session_id bigint, seq bigint, at timestamp, stops int"
+PROMPT_OUT = "stops int"
 
 
 def prompt_reminder_step(s: dict, e: dict, minutes: float = 7.0, stops: int = 2) -> tuple[dict, int | None]:
@@ -151,14 +234,11 @@ def prompt_reminder_step(s: dict, e: dict, minutes: float = 7.0, stops: int = 2)
 
 
 def prompt_reminders(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    names = [part.split()[0] for part in PROMPT_OUT.split(", ")]
-    fields = [part.split()[0] for part in PROMPT_STATE.split(", ")]
-    run = _stateful((0, 0, 0, False), fields, prompt_reminder_step, lambda key, e, s, hit: (key, e["seq"], e["at"], int(hit)), names)
-    return events.withWatermark("at", late).groupBy("session_id").applyInPandasWithState(run, PROMPT_OUT, PROMPT_STATE, "append", "NoTimeout")
+    return step_sessions(events, Steps(PROMPT_STATE, (0, 0, 0, False), prompt_reminder_step, lambda s, hit: (int(hit),), PROMPT_OUT), late)
 
 
 CADENCE_STATE = "auto_turn int, auto_step int, compaction bigint, shown_key string, shown_turn int"
-CADENCE_OUT = "session_id bigint, seq bigint, at timestamp, why string, shown boolean"
+CADENCE_OUT = "why string, shown boolean"
 
 
 def cadence_step(s: dict, e: dict, p: ReminderParams = ReminderParams()) -> tuple[dict, tuple[str, bool] | None]:
@@ -183,10 +263,8 @@ def cadence_step(s: dict, e: dict, p: ReminderParams = ReminderParams()) -> tupl
 
 
 def recall_cadence(events: DataFrame, p: ReminderParams = ReminderParams(), late: str = "1 hour") -> DataFrame:
-    names = [part.split()[0] for part in CADENCE_OUT.split(", ")]
-    fields = [part.split()[0] for part in CADENCE_STATE.split(", ")]
-    run = _stateful((-1, 0, 0, "", -1), fields, lambda s, e: cadence_step(s, e, p), lambda key, e, s, hit: (key, e["seq"], e["at"], hit[0], bool(hit[1])), names)
-    return events.withWatermark("at", late).groupBy("session_id").applyInPandasWithState(run, CADENCE_OUT, CADENCE_STATE, "append", "NoTimeout")
+    step = lambda s, e: cadence_step(s, e, p)
+    return step_sessions(events, Steps(CADENCE_STATE, (-1, 0, 0, "", -1), step, lambda s, hit: (hit[0], bool(hit[1])), CADENCE_OUT), late)
 
 
 def rolling_samples(samples: DataFrame, keep: int = 50, late: str = "1 hour") -> DataFrame:
