@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.columns import clamp, clamp01, positive
 from tagloom.functions.text import technical_name
 from tagloom.functions.vectors import dot, magnitude
+from tagloom.operators.distances import nearest_by_distance
 from tagloom.operators.graph import strongest_out_edges
 from tagloom.operators.neighbours import top_neighbours
 from tagloom.operators.running import top_n
@@ -176,7 +177,7 @@ def residual_pyramid(queries: DataFrame, tag_vectors: DataFrame, p: PyramidParam
     )
     done = None
     for level in range(p.levels):
-        near = top_neighbours(open_, tags, p.top_k)
+        near = nearest_by_distance(open_, tags, p.top_k)
         rows = near.join(tags, "item_id").join(open_.select("query_id", F.col("vector").alias("residual"), "energy0"), "query_id")
 
         step = cut_lineage(rows.groupBy("query_id").applyInPandas(_explain_level(level), schema), "pyramid")
