@@ -12,6 +12,7 @@ from tagloom.functions.vectors import cosine, magnitude
 from tagloom.functions.time import micros
 from tagloom.operators import components as C
 from tagloom.operators import neighbours as N
+from tagloom.operators.distances import nearest_by_distance
 from tagloom.sources import tables as T
 
 part("vec", "SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS m FROM embeddings")
@@ -55,6 +56,21 @@ def _(spark, d):
     return N.top_neighbours(v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "item_id"), 10, distinct=True).withColumn("score", F.round("score", 6))
 
 
+@query(
+    "nearest_by_distance",
+    """SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank
+         FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(2 * list_inner_product(a.v, b.w) - list_inner_product(a.v, a.v) - list_inner_product(b.w, b.w), 9) AS score
+           FROM vec a JOIN (SELECT vec_id, list_transform(v, lambda x: x * (1 + vec_id % 4)) AS w FROM vec) b ON true)) WHERE rank <= 10""",
+    ("vec",),
+)
+def _(spark, d):
+    """Nearest items of unequal norms to each vector."""
+    v = T.read_table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    items = v.select(F.col("vec_id").alias("item_id"), F.transform("vector", lambda x: x * (1 + F.col("vec_id") % 4)).alias("vector"))
+    near = nearest_by_distance(v.withColumnRenamed("vec_id", "query_id"), items, 10, broadcast_rows=0)
+    return near.withColumn("score", F.round("score", 6))
+
+
 @query(
     "knn_topk_in_group",
     """SELECT query_id, item_id, score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(round(list_inner_product(a.v, b.v) / (a.m * b.m), 9), 6) AS score,
