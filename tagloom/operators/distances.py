@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.operators.neighbours import BLOCK_ROWS, OUT, PIVOTS, _best, _columns, _few_queries
+from tagloom.operators.neighbours import BLOCK_ROWS, OUT, PIVOTS, _best, _columns, _few_queries, slices
 from tagloom.operators.running import top_n
 from tagloom.session import BROADCAST_ROWS, cut_lineage
 
 # Squared distances are compared rounded; a cell this much beyond the bound may still hold a tie.
 SLACK = 1e-6
+# Queries whose visits are laid out together.
+VISITS = 128
 
 
 def _matrix(column) -> np.ndarray:
@@ -92,9 +94,10 @@ def _by_cells(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
 
     def visit(batches):
         for pdf in batches:
-            if len(pdf):
-                row, at = np.nonzero(cells_to_visit(_to_pivots(pdf["vector"], pivots.value)[:, known], radius, sizes, k))
-                yield pdf.iloc[row].assign(cell=known[at].astype("int32"), blocks=blocks[at].astype("int32"))
+            # A query may visit every cell, so few are laid out at a time.
+            for some in slices(pdf, VISITS):
+                row, at = np.nonzero(cells_to_visit(_to_pivots(some["vector"], pivots.value)[:, known], radius, sizes, k))
+                yield some.iloc[row].assign(cell=known[at].astype("int32"), blocks=blocks[at].astype("int32"))
 
     visiting = T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("blocks", T.IntegerType())])
     query_blocks = max(1, -(-q.count() // BLOCK_ROWS))
