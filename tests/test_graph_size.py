@@ -72,3 +72,26 @@ def test_visits_are_laid_out_a_few_queries_at_a_time(spark, monkeypatch):
     away = np.round(-((m[:, None] - m[None]) ** 2).sum(axis=2), 9)
     want = {(i, j) for i in range(len(m)) for j in sorted(range(len(m)), key=lambda j: (-away[i, j], j))[:2]}
     assert {(r["query_id"], r["item_id"]) for r in got} == want
+
+
+def test_provenance_sums_only_files_with_repeated_tags(spark):
+    rows = [(1, 10, 1), (1, 20, 2), (1, 30, 3), (2, 10, 1), (2, 20, 2), (2, 10, 3)]
+    tags = spark.createDataFrame(rows, "file_id bigint, tag_id bigint, position int")
+    want = {}
+    for f in (1, 2):
+        own = [(t, p) for g, t, p in rows if g == f]
+        for i, (a, pa) in enumerate(own):
+            for b, pb in own[i + 1 :]:
+                if a != b:
+                    fade = np.exp(-0.08 * (pb - pa - 1))
+                    want[a, b, f] = want.get((a, b, f), 0) + fade
+                    want[b, a, f] = want.get((b, a, f), 0) + 0.35 * fade
+    found = G.edge_provenance(tags)
+    got = [((r["src"], r["dst"], r["file_id"]), r["mass"]) for r in found.collect()]
+    assert len(got) == len(want) and {k: pytest.approx(v) for k, v in got} == want
+    assert "Union" in plan(found)
+    shares = G.independent_fraction(found)
+    assert "Join" not in plan(shares)
+    for r in shares.collect():
+        total = sum(v for (a, b, _), v in want.items() if (a, b) == (r["src"], r["dst"]))
+        assert r["independent"] == pytest.approx(max(0.15, 1 - want[r["src"], r["dst"], r["file_id"]] / total))
