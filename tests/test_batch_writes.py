@@ -1,3 +1,5 @@
+import contextlib
+import io
 import random
 
 import numpy as np
@@ -140,3 +142,22 @@ def test_tables_after_a_batch(spark):
     names = {r["name"] for r in after["tags"].collect()}
     assert names == {"a", "b", "c"}
     assert after["chunks"].select(parse_tag_line(F.col("content")).alias("t")).filter(F.size("t") == 2).count() == 3
+
+
+def test_no_plan_of_a_round_is_large(spark, monkeypatch):
+    """The driver holds one plan at a time; a table that a round adds rows to is not planned from all gates at once."""
+    from tagloom.plans import batch_writes as B
+
+    plans, add = [], B._Grown.add
+
+    def noted(self, rows):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            rows.explain()
+        plans.append(out.getvalue().count("Exchange"))
+        add(self, rows)
+
+    monkeypatch.setattr(B._Grown, "add", noted)
+    ops = [(i, "write", "b", i, [], "T", "text", ["x", "y", "z"], [1.0, float(i)], "r", 2, f"p{i}") for i in range(3)]
+    got = decide_batch(spark.createDataFrame(ops, OPS), spark.createDataFrame([], NOTES), spark.createDataFrame([("x", [1.0]), ("y", None), ("z", None)], NAMES), spark.createDataFrame([], NAMES))
+    assert got.count() == 3 and plans and max(plans) <= 12
