@@ -24,14 +24,16 @@ from tagloom.session import staged
 from tagloom.sources import tables as T
 
 
-def corpus(spark, d):
+def corpus(spark, d, mode):
+    """Tables of the corpus; the graph is staged when it is named, so a plain search goes without it."""
     stamps = T.note_files(spark, d).select("file_id", micros(F.col("updated_at")).alias("stamp"))
-    return E.Corpus(T.tags(spark, d), tag_vector_table(spark, d), T.file_tags(spark, d), chunks(spark, d), transport(spark, d), stamps)
+    vectors, graph = (None, None) if mode == "plain" else (tag_vector_table(spark, d), transport(spark, d))
+    return E.Corpus(T.tags(spark, d), vectors, T.file_tags(spark, d), chunks(spark, d), graph, stamps)
 
 
 def run(spark, d, mode):
     clock = T.read_table(spark, d, "events").agg(micros(F.max("ts")).alias("t")).scalar()
-    rows = E.retrieve(queries(spark, d), corpus(spark, d), ledger_micros(spark, d), clock, mode, E.RetrievalParams(spike=SPIKE), observed=None if mode == "plain" else full_state(spark, d))
+    rows = E.retrieve(queries(spark, d), corpus(spark, d, mode), ledger_micros(spark, d), clock, mode, E.RetrievalParams(spike=SPIKE), observed=None if mode == "plain" else full_state(spark, d))
     return rows.select("query_id", "chunk_id", "rank", "role", r6(F.col("score"), "score"), r6(F.col("effective"), "effective"), "suppressed")
 
 

@@ -32,13 +32,13 @@ class RetrievalParams:
 @dataclass(frozen=True)
 class Corpus:
     """tags (tag_id, name), tag_vectors (tag_id, vector), file_tags (file_id, tag_id, position), chunks (chunk_id, file_id,
-    vector), transport (src, dst, weight, wormhole), stamps (file_id, stamp in microseconds)."""
+    vector), transport (src, dst, weight, wormhole), stamps (file_id, stamp in microseconds). Mode plain reads chunks and stamps."""
 
     tags: DataFrame
-    tag_vectors: DataFrame
+    tag_vectors: DataFrame | None
     file_tags: DataFrame
     chunks: DataFrame
-    transport: DataFrame
+    transport: DataFrame | None
     stamps: DataFrame
 
 
