@@ -19,7 +19,7 @@ from tagloom.operators.neighbours import top_neighbours
 from tagloom.operators.running import top_n
 from tagloom.plans import govern as V
 from tagloom.plans import select as S
-from tagloom.session import staged
+from tagloom.session import cut_lineage, staged
 from tagloom.sources import tables as T
 
 
@@ -460,8 +460,9 @@ def _(spark, d):
     from tagloom.operators.components import tag_components
     from tagloom.operators.joins import compare_by_key, orphan_tags
 
-    files, edges = T.note_files(spark, d), T.file_tags(spark, d)
-    counts = L.bucket_tag_counts(files, edges)
+    # Written once: five criteria read the edges, two the counts, and no task sorts and ranks the lines beside its own sums.
+    files, edges = T.note_files(spark, d), cut_lineage(T.file_tags(spark, d), "edges")
+    counts = cut_lineage(L.bucket_tag_counts(files, edges), "bucket-counts")
     bodies = T.read_table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("h"))
     report = L.tag_frequency(T.tags(spark, d).select("tag_id"), edges).join(counts.groupBy("tag_id").agg(F.sum("files").alias("sum")), "tag_id", "left").select((F.col("files") == F.coalesce("sum", F.lit(0))).alias("agrees"))
     return V.corpus_criteria(tag_components(edges), counts, orphan_tags(T.tags(spark, d), edges), compare_by_key(bodies, bodies, "path", "h"), report)
