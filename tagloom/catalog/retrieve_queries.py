@@ -58,7 +58,7 @@ def _(spark, d):
 
 
 def gains(spark, d):
-    return staged(spark, d, "anchor_gains", lambda: anchor_gains(transport(spark, d), tag_vector_table(spark, d)))
+    return staged(spark, d, "anchor_gains", lambda: anchor_gains(transport(spark, d), T.tag_vectors(spark, d), T.unit_vectors(spark, d)))
 
 
 @query("anchor_gains")
