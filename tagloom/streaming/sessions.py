@@ -17,12 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tagloom.params import ReminderParams
 
 MINUTE_US = 60_000_000
 IDLE_DAYS = 30.0
+# Groups of sessions whose state a stream keeps together; a micro-batch rewrites the groups it touches.
+SHARDS = 2048
 
 
 def trimmed_mean(values: list[int], default: float) -> float:
@@ -138,52 +140,78 @@ class Steps:
 
 
 def _plain(e: dict) -> dict:
-    """An event as JSON can hold it."""
+    """An event in plain Python values."""
     return {k: None if v is None or v is pd.NaT or v != v else v.item() if hasattr(v, "item") else v for k, v in e.items() if k != "at"}
 
 
-def step_sessions(events: DataFrame, steps: Steps, late: str = "1 hour") -> DataFrame:
+def step_sessions(events: DataFrame, steps: Steps, late: str = "1 hour", shards: int = SHARDS) -> DataFrame:
     """Output rows of `steps` over events (session_id, seq, at and what the step reads); `at` is a timestamp. Events without
-    a time or session are left out. On a stream, events later than `late` are dropped by the watermark."""
+    a time or session are left out. On a stream, events later than `late` are dropped by the watermark and sessions share `shards` groups of state."""
     if events.isStreaming:
         events = events.withWatermark("at", late)
     timed = events.filter(F.col("at").isNotNull() & F.col("session_id").isNotNull()).withColumn("us", F.unix_micros("at"))
-    return _stepped_stream(timed, steps) if events.isStreaming else _stepped_frame(timed, steps)
+    return _stepped_stream(timed, steps, shards) if events.isStreaming else _stepped_frame(timed, steps)
 
 
-def _stepped_stream(timed: DataFrame, steps: Steps) -> DataFrame:
+def _parsed(text: str, floats: list[str]) -> dict:
+    """An event from its JSON text, in which Spark writes infinite and undefined numbers as strings."""
+    e = json.loads(text)
+    for c in floats:
+        if isinstance(e[c], str):
+            e[c] = None if e[c] == "NaN" else float(e[c])
+    return e
+
+
+def _stepped_stream(timed: DataFrame, steps: Steps, shards: int) -> DataFrame:
+    """Sessions are dealt to `shards` groups: a call costs more than the events of most sessions, so one serves all of a group.
+
+    The state of a group lists its sessions and holds their events as text; every session keeps its own steps, times and end.
+    """
     out = steps.schema(timed)
     idle_ms = int(steps.idle_days * 86_400_000)
+    floats = [c for c, kind in timed.dtypes if kind in ("float", "double") and c != "session_id"]
+    # A call converts every column of its group on its own, so an event travels as one text.
+    body = F.to_json(F.struct(F.col("session_id").cast("string").alias("session_id"), *[c for c in timed.columns if c not in ("session_id", "at")]), {"ignoreNullFields": "false"})
+    packed = timed.select(F.pmod(F.xxhash64("session_id"), F.lit(shards)).alias("shard"), "at", body.alias("body"))
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *values, last_us, done_ms, held = state.get if state.exists else (*steps.start, None, None, [])
-        s = {f: list(v) if hasattr(v, "__len__") and not isinstance(v, str) else v for f, v in zip(steps.fields, values, strict=True)}
-        events = [json.loads(x) for x in held]
+        listed, held = state.get if state.exists else ("[]", [])
+        known = {name: (dict(zip(steps.fields, values, strict=True)), last_us, done_ms) for name, values, last_us, done_ms in json.loads(listed)}
+        unseen = (None, None, None)
+        events = [(_parsed(x, floats), x) for x in held]
         if not state.hasTimedOut:
             for pdf in frames:
-                new = map(_plain, pdf.drop(columns="session_id").to_dict("records"))
-                events += [e for e in new if done_ms is None or e["us"] // 1000 > done_ms]
-        events.sort(key=lambda e: (e["us"], e["seq"]))
+                for x in pdf["body"]:
+                    e = _parsed(x, floats)
+                    done_ms = known.get(e["session_id"], unseen)[2]
+                    if done_ms is None or e["us"] // 1000 > done_ms:
+                        events.append((e, x))
+        events.sort(key=lambda n: (n[0]["us"], n[0]["seq"]))
         mark = state.getCurrentWatermarkMs()
-        ready = [e for e in events if e["us"] // 1000 <= mark]
+        ready = [e for e, _ in events if e["us"] // 1000 <= mark]
         held = events[len(ready) :]
         rows = []
         for e in ready:
-            s, row = steps.feed(key[0], s, last_us, e)
-            last_us = e["us"]
+            name = e["session_id"]
+            s, last_us, _ = known.get(name, unseen)
+            s, row = steps.feed(name, steps.fresh() if s is None else s, last_us, e)
+            known[name] = (s, e["us"], mark)
             if row is not None:
                 rows.append(row)
-        if not held and last_us is not None and last_us // 1000 + idle_ms < mark:
+        waiting = {e["session_id"] for e, _ in held}
+        known = {name: v for name, v in known.items() if name in waiting or v[1] // 1000 + idle_ms >= mark}
+        if not held and not known:
             state.remove()
         else:
-            state.update((*(s[f] for f in steps.fields), last_us, mark if ready else done_ms, [json.dumps(e) for e in held]))
-            wake = held[0]["us"] // 1000 - 1 if held else (last_us or 0) // 1000 + idle_ms
-            state.setTimeoutTimestamp(max(wake, mark + 1))
+            state.update((json.dumps([(name, [s[f] for f in steps.fields], *v) for name, (s, *v) in known.items()]), [x for _, x in held]))
+            wake = [v[1] // 1000 + idle_ms for name, v in known.items() if name not in waiting] + [e["us"] // 1000 - 1 for e, _ in held[:1]]
+            state.setTimeoutTimestamp(max(min(wake), mark + 1))
         if rows:
             yield pd.DataFrame(rows, columns=out.names)
 
-    kept = f"{steps.state}, last_us bigint, done_ms bigint, held array<string>"
-    return timed.groupBy("session_id").applyInPandasWithState(run, out, kept, "append", "EventTimeTimeout")
+    named = StructType([StructField("session_id", StringType()), *out.fields[1:]])
+    found = packed.groupBy("shard").applyInPandasWithState(run, named, "listed string, held array<string>", "append", "EventTimeTimeout")
+    return found.withColumn("session_id", F.col("session_id").cast(out["session_id"].dataType))
 
 
 def _stepped_frame(timed: DataFrame, steps: Steps) -> DataFrame:
