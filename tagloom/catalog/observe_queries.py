@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagloom.catalog.base import part, query
-from tagloom.catalog.graph_queries import tag_vector_table, transport
+from tagloom.catalog.graph_queries import listed_graph, tag_vector_table, transport
 from tagloom.catalog.neighbour_queries import centroids
 from tagloom.functions.columns import r6
 from tagloom.params import FieldParams, SpikeParams
@@ -32,7 +32,7 @@ def observation(spark, d):
 
     def build(which):
         if not if_missing:
-            if_missing["nodes"], if_missing["edges"] = O.propagate(seeds(spark, d), transport(spark, d), SPIKE)
+            if_missing["nodes"], if_missing["edges"] = O.propagate(seeds(spark, d), listed_graph(spark, d), SPIKE)
         return if_missing[which]
 
     return staged(spark, d, "obs_nodes", lambda: build("nodes")), staged(spark, d, "obs_edges", lambda: build("edges"))

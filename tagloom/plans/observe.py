@@ -11,7 +11,7 @@ from tagloom.functions.columns import clamp, clamp01, positive
 from tagloom.functions.text import technical_name
 from tagloom.functions.vectors import dot, magnitude
 from tagloom.operators.distances import nearest_by_distance
-from tagloom.operators.graph import strongest_out_edges
+from tagloom.operators.graph import ListedGraph, strongest_out_edges
 from tagloom.operators.neighbours import top_neighbours
 from tagloom.operators.running import top_n
 from tagloom.params import PyramidParams, SpikeParams
@@ -254,27 +254,36 @@ def cosine_seeds(queries: DataFrame, tag_vectors: DataFrame, k: int = 10) -> Dat
 
 
 def propagate(
-    seeds: DataFrame, transport: DataFrame, p: SpikeParams = SpikeParams(), anchor: DataFrame | None = None
+    seeds: DataFrame, transport: DataFrame | ListedGraph, p: SpikeParams = SpikeParams(), anchor: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Spread seed energy over the strongest out-edges for a few hops. Returns (nodes, edges) per query.
 
     A state is (query, previous, node). Each hop is one join with at most `neighbours` edges per state and one
-    aggregation that yields both the edge flows and the next states; states are capped per query by energy.
+    aggregation that yields both the edge flows and the next states; states are capped per query by energy. A `ListedGraph`
+    is asked in each hop for the out-edges of the nodes that fire, at most `max_states` per query.
     """
     weights = p.hop_weights()
-    graph = transport if "rank" in transport.columns else strongest_out_edges(transport, p.neighbours)
-    if anchor is not None:
-        graph = graph.join(anchor.select(F.col("tag_id").alias("dst"), "anchor_gain"), "dst", "left")
+
+    def strongest(edges: DataFrame) -> DataFrame:
+        graph = edges if "rank" in edges.columns else strongest_out_edges(edges, p.neighbours)
+        if anchor is not None:
+            graph = graph.join(anchor.select(F.col("tag_id").alias("dst"), "anchor_gain"), "dst", "left")
+        else:
+            graph = graph.withColumn("anchor_gain", F.lit(1.0))
+        return cut_lineage(
+            graph.select(
+                F.col("src").alias("node"), "dst", F.col("weight").alias("w"),
+                (F.col("wormhole") | (F.col("weight") * F.coalesce("anchor_gain", F.lit(1.0)) >= p.tension)).alias("worm"),
+            ),
+            "spike-graph",
+        )
+
+    listed = isinstance(transport, ListedGraph)
+    if listed:
+        known = transport.damping.select(F.col("tag_id").alias("node"))
     else:
-        graph = graph.withColumn("anchor_gain", F.lit(1.0))
-    graph = cut_lineage(
-        graph.select(
-            F.col("src").alias("node"), "dst", F.col("weight").alias("w"),
-            (F.col("wormhole") | (F.col("weight") * F.coalesce("anchor_gain", F.lit(1.0)) >= p.tension)).alias("worm"),
-        ),
-        "spike-graph",
-    )
-    known = graph.select("node").union(graph.select("dst")).distinct()
+        graph = strongest(transport)
+        known = graph.select("node").union(graph.select("dst")).distinct()
     start = seeds.filter("energy > 0").join(known.withColumnRenamed("node", "tag_id"), "tag_id", "left_semi").groupBy("query_id", F.col("tag_id").alias("node")).agg(
         F.sum("energy").alias("energy"), F.bool_or("is_core").alias("is_core")
     )
@@ -286,6 +295,8 @@ def propagate(
     flows = None
     for hop in range(p.hops):
         fired = states.filter((F.col("energy") >= p.firing) & (F.col("momentum") >= 0))
+        if listed:
+            graph = strongest(transport.out_edges(fired.select(F.col("node").alias("tag"))))
         back = F.coalesce(F.col("prev") == F.col("dst"), F.lit(False))
         decay = F.when(F.col("worm"), p.wormhole_decay).otherwise(p.decay)
         moved = (
