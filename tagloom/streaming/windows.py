@@ -13,9 +13,13 @@ from tagloom.session import new_stage_path
 
 
 def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A parquet table read as a stream of files."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    """A parquet table read as a stream of files; the table is one file or a folder of files."""
+    path = f"{folder}/{table}.parquet"
+    stored = spark.read.parquet(path)
+    stream = spark.readStream.schema(stored.schema)
+    if any(f.endswith(f"/{table}.parquet") for f in stored.inputFiles()):
+        return stream.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    return stream.parquet(path)
 
 
 def drain(stream: DataFrame, label: str, mode: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, list[dict]]:
