@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tagloom.catalog.base import query
 from tagloom.catalog.curve_queries import points, scores
 from tagloom.catalog.govern_queries import ledger_micros
-from tagloom.catalog.graph_queries import tag_vector_table, transport
+from tagloom.catalog.graph_queries import inbound_mass, listed_graph, tag_vector_table, transport
 from tagloom.catalog.join_queries import events, sessions
 from tagloom.catalog.observe_queries import SPIKE, full_state, queries
 from tagloom.catalog.rank_queries import chunks
@@ -27,8 +27,8 @@ from tagloom.sources import tables as T
 def corpus(spark, d, mode):
     """Tables of the corpus; the graph is staged when it is named, so a plain search goes without it."""
     stamps = T.note_files(spark, d).select("file_id", micros(F.col("updated_at")).alias("stamp"))
-    vectors, graph = (None, None) if mode == "plain" else (tag_vector_table(spark, d), transport(spark, d))
-    return E.Corpus(T.tags(spark, d), vectors, T.file_tags(spark, d), chunks(spark, d), graph, stamps)
+    vectors, graph = (None, None) if mode == "plain" else (tag_vector_table(spark, d), listed_graph(spark, d))
+    return E.Corpus(T.tags(spark, d), vectors, T.file_tags(spark, d), chunks(spark, d), graph, stamps, None if mode == "plain" else inbound_mass(spark, d))
 
 
 def run(spark, d, mode):

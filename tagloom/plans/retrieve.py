@@ -16,7 +16,7 @@ from tagloom.plans import observe as O
 from tagloom.plans import rank_curve as D
 from tagloom.plans import rank_topology as R
 from tagloom.plans.select import adjusted_scores
-from tagloom.session import cut_lineage
+from tagloom.session import broadcast_if_fits, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -32,14 +32,16 @@ class RetrievalParams:
 @dataclass(frozen=True)
 class Corpus:
     """tags (tag_id, name), tag_vectors (tag_id, vector), file_tags (file_id, tag_id, position), chunks (chunk_id, file_id,
-    vector), transport (src, dst, weight, wormhole), stamps (file_id, stamp in microseconds). Mode plain reads chunks and stamps."""
+    vector), transport (src, dst, weight, wormhole), stamps (file_id, stamp in microseconds). Mode plain reads chunks and stamps.
+    With the graph as a `ListedGraph` come `inbound` (tag_id, inbound) and what `observe` returns."""
 
     tags: DataFrame
     tag_vectors: DataFrame | None
     file_tags: DataFrame
     chunks: DataFrame
-    transport: DataFrame | None
+    transport: DataFrame | G.ListedGraph | None
     stamps: DataFrame
+    inbound: DataFrame | None = None
 
 
 def observe(queries: DataFrame, c: Corpus, p: RetrievalParams, core: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -83,19 +85,23 @@ def retrieve(
         }
         anchors = R.anchor_direct(o["fields"], c.file_tags, c.chunks, p.topology)
         cands = cut_lineage(R.candidate_cosines(R.candidate_union(vectors, c.chunks, anchors, p.topology), vectors, c.chunks), "candidates")
-        own = c.chunks.join(cands.select("chunk_id").distinct(), "chunk_id", "left_semi").join(c.file_tags, "file_id").join(c.tag_vectors.select("tag_id", F.col("vector").alias("tv")), "tag_id")
+        files = broadcast_if_fits(cands.select("file_id").distinct())
+        file_tags = cut_lineage(c.file_tags.join(files, "file_id", "left_semi"), "candidate-tags")
+        own = c.chunks.join(broadcast_if_fits(cands.select("chunk_id").distinct()), "chunk_id", "left_semi").join(file_tags, "file_id").join(c.tag_vectors.select("tag_id", F.col("vector").alias("tv")), "tag_id")
         geometry = own.select("chunk_id", "tag_id", cosine(F.col("vector"), F.col("tv")).alias("cosine"))
-        curve = cut_lineage(R.curve_rows(cands, c.file_tags, geometry, o["fields"]), "curve")
-        steps = R.file_steps(curve.select("file_id"), c.file_tags, c.tag_vectors, c.transport)
+        curve = cut_lineage(R.curve_rows(cands, file_tags, geometry, o["fields"]), "curve")
+        listed = isinstance(c.transport, G.ListedGraph)
+        edges = cut_lineage(c.transport.out_edges(curve.select(F.col("tag_id").alias("tag"))), "curve-edges") if listed else c.transport
+        steps = cut_lineage(R.file_steps(curve.select("file_id"), file_tags, c.tag_vectors, edges), "steps")
         classes, pairs = R.tag_similarity(c.tag_vectors, o["nodes"], curve, min(p.topology.semantic_node, p.curve.neighbour_floor))
-        spec = cut_lineage(G.hub_specificity(G.inbound_mass(c.transport)), "specificity")
+        spec = cut_lineage(G.hub_specificity(c.inbound if listed else G.inbound_mass(c.transport)), "specificity")
         if mode == "curve":
             trust, kept = D.field_trust(o["nodes"], p.curve)
             samples = D.field_samples(curve, o["nodes"], kept, classes, pairs, spec, p.curve)
             points = cut_lineage(D.curve_points(curve, samples, spec, None, p.curve), "points")
             masses = D.curve_masses(points, p.curve)
             flow = D.curve_continuity(points, steps.drop("position"), masses)
-            sparse = D.sparse_association(points, masses, c.transport, c.tag_vectors, p.curve)
+            sparse = D.sparse_association(points, masses, edges, c.tag_vectors, p.curve)
             enhanced = cands.select("query_id", "chunk_id", F.col("denoised_score").alias("score"))
             ranked = D.curve_rank(D.curve_scores(cands, masses, flow, sparse, o["state"], enhanced, p.curve), trust, p.curve)
             rows = ranked.join(cands.select("query_id", "chunk_id", "file_id"), ["query_id", "chunk_id"]).select(
@@ -105,7 +111,7 @@ def retrieve(
             path = R.path_geometry(curve, steps, p.topology)
             aligned = R.alignments(curve, o["nodes"], classes, pairs, p.topology)
             kept = R.strongest_flows(o["edges"], p.topology).select("src", "dst")
-            mine = G.independent_fraction(G.edge_provenance(c.file_tags, only=kept)).join(curve.select("file_id").distinct(), "file_id", "left_semi")
+            mine = G.independent_fraction(G.edge_provenance(c.transport.lists if listed else c.file_tags, only=kept)).join(curve.select("file_id").distinct(), "file_id", "left_semi")
             topo = R.topology_alignment(cands, curve, aligned, o["nodes"], o["edges"], mine, p.topology)
             qt = curve.select("query_id", "tag_id").distinct().join(queries.select("query_id", F.col("vector").alias("qv")), "query_id").join(c.tag_vectors, "tag_id")
             seen = R.observables(curve, cands, path, o["nodes"], qt.select("query_id", "tag_id", clamp01(cosine(F.col("qv"), F.col("vector"))).alias("cos")))
